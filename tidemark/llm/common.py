@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,69 @@ def remainder(column: str | Column, divisor: int) -> Column:
 
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of equal values in the first `keys` columns (integers, not null) of sorted batches, each as one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        if held and last != tuple(c[0] for c in columns):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts, cuts[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label): label is the least node reachable. Neighbours' least labels and pointer jumping, to a fixed point.
+
+    Every round is a join and an aggregate over tables in the shared folder; only a count reaches the driver. A hub is
+    a long run of one join key, which skewed joins split.
+    """
+    both = table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(b, a)).filter("a != b").distinct(), "edges")
+    labels = table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
+    for _ in range(64):
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+        jump = labels.select(F.col("node").alias("to_node"), F.col("label").alias("to_label"))
+        step = table(lower.join(jump, F.col("to") == F.col("to_node")).select("node", "old", F.least("to", "to_label").alias("label")), "labels")
+        changed = step.filter("old != label").limit(1).count()
+        labels = step.select("node", "label")
+        if not changed:
+            return labels
+    raise RuntimeError("components did not settle in 64 rounds")
+
+
+class Forest:
+    """Union-find over 0..n-1, in one task."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True

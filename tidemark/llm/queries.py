@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, shards
+from . import bpe, minhash, mixing, shards
 from .common import read
 
 #: Where the public vocabularies are; a parameter of the operators.
@@ -25,4 +25,8 @@ def op8_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.balance(read(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mix_sources, op6_bpe_prefix_trie, op8_karmarkar_karp_shards)}
+def op9_minhash_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components_by_document(read(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mix_sources, op6_bpe_prefix_trie, op8_karmarkar_karp_shards, op9_minhash_coordinate_join)}
