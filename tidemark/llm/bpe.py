@@ -43,11 +43,11 @@ class PrefixEncoder:
         self.spelled = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.ranks = {(self.ids[spell(a)], self.ids[spell(b)]): (k, self.ids[spell(a + b)]) for k, (a, b) in enumerate(merges)}
-        # which lengths of token can end on these two bytes, longest first
+        # which tokens end on these three bytes (or are these one or two), by length, longest first
         ends: dict[bytes, set[int]] = {}
         for b in self.ids:
-            ends.setdefault(b[-2:], set()).add(len(b))
-        self.lengths = {k: sorted(v | ({1} if len(k) > 1 else set()), reverse=True) for k, v in ends.items()}
+            ends.setdefault(b[-3:], set()).add(len(b))
+        self.lengths = {k: tuple(sorted({n for s in range(len(k)) for n in ends.get(k[s:], ()) if s == 0 or n == len(k) - s}, reverse=True)) for k in ends}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.keep, self.known = keep, {}
@@ -65,12 +65,17 @@ class PrefixEncoder:
             parts[k : k + 2] = [self.ranks[parts[k], parts[k + 1]][1]]
         return parts
 
+    def shorter(self, tail: bytes) -> tuple[int, ...]:
+        """Lengths for a tail that no token of three bytes or more has."""
+        if len(self.lengths) > 1_000_000:
+            return (2, 1)
+        found = self.lengths[tail] = tuple(n for n in (2, 1) if n <= len(tail) and tail[len(tail) - n :] in self.ids)
+        return found
+
     def fits(self, before: int, token: int) -> bool:
-        key = (before, token)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(self.spelled[before] + self.spelled[token]) == [before, token]
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        known = self.pairs[before, token] = self.merge(self.spelled[before] + self.spelled[token]) == [before, token]
         return known
 
     def alone(self, token: int) -> bool:
@@ -80,7 +85,7 @@ class PrefixEncoder:
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Distinct words in byte order are the depth-first walk of their trie; `last` is the path from its root."""
-        ids, lengths, spelled = self.ids, self.lengths, self.spelled
+        ids, lengths, spelled, pairs = self.ids, self.lengths, self.spelled, self.pairs
         last: list[int] = [-1]
         previous = b""
         for word in sorted(words):
@@ -90,11 +95,18 @@ class PrefixEncoder:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                for length in lengths.get(word[max(0, end - 2) : end], (1,)):
+                tail = word[end - 3 if end > 3 else 0 : end]
+                for length in lengths.get(tail) or self.shorter(tail):
                     begin = end - length
                     if begin < 0 or (token := ids.get(word[begin:end])) is None:
                         continue
-                    if self.fits(last[begin], token) if begin else self.alone(token):
+                    if begin:
+                        fits = pairs.get((last[begin], token))
+                        if fits is None:
+                            fits = self.fits(last[begin], token)
+                    else:
+                        fits = self.alone(token)
+                    if fits:
                         last.append(token)
                         break
                 else:
