@@ -29,8 +29,8 @@ from .common import Forest, components, map_batches, raw, runs, table
 COORDINATES, MISS = 64, 1e-6
 #: A posting list above CHUNK classes is dealt in pairs of chunks, a set of candidates above 2 * BLOCK in pairs of blocks.
 CHUNK, BLOCK, BLOCKS = 1024, 128, 32
-#: Bits of the tables of token counts and of needed classes; they grow with the classes up to these sizes (8 MB each).
-MOST_BITS = 20
+#: Bits of the tables of token counts and of needed classes; they grow with the classes up to this size (2 MB each).
+MOST_BITS = 18
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(20_240_229)
@@ -88,7 +88,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def classify(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """(id, text_hash, class, n, signature) for each row; class is null for texts without words."""
+    """(id, text_hash, class, n, signature, low) for each row; class is null for texts without words, low has a byte of each minimum."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +100,10 @@ def classify(docs: DataFrame, id_column: str, text_column: str, width: int) -> D
                 n.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
                 sig.append(signature(s).astype("<u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["id", "text_hash", "class", "n", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array([s and s[::4] for s in sig], pa.binary())], ["id", "text_hash", "class", "n", "signature", "low"])
 
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("text_hash"), F.col(text_column).alias("text"))
-    return map_batches(rows, run, f"id {kind}, text_hash long, class long, n long, signature binary")
+    return map_batches(rows, run, f"id {kind}, text_hash long, class long, n long, signature binary, low binary")
 
 
 def tokens(signatures: list[bytes]) -> np.ndarray:
@@ -125,30 +125,26 @@ def token_counts(classes: DataFrame, bits: int) -> np.ndarray:
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], ["cell", "n"])
 
-    found = map_batches(classes.select("signature"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = map_batches(classes.select("signature"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << bits, np.int64)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
 def postings(classes: DataFrame, counts: np.ndarray, prefix: int) -> DataFrame:
-    """(token, class, n, low): the prefix of each class, without tokens that no other class has; low is a byte of each minimum."""
+    """(token, class): the prefix of each class, without tokens that are known to be no other class's."""
     bits = int(np.log2(len(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = batch.column(2).to_pylist()
-            t = tokens(sigs)
+            t = tokens(batch.column(1).to_pylist())
             often = counts[(t >> _U(64 - bits)).astype(np.int64)]
             first = np.lexsort((t, often), axis=1)[:, :prefix]
             t, often = np.take_along_axis(t, first, 1), np.take_along_axis(often, first, 1)
             row, column = np.nonzero(often > 1)
-            low = [s[::4] for s in sigs]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t[row, column].view(np.int64), pa.int64()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array([low[r] for r in row], pa.binary())], ["token", "class", "n", "low"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(t[row, column].view(np.int64), pa.int64()), batch.column(0).take(pa.array(row))], ["token", "class"])
 
-    return map_batches(classes.select("class", "n", "signature"), run, "token long, class long, n long, low binary")
+    return map_batches(classes.select("class", "signature"), run, "token long, class long")
 
 
 def merge_list(n: np.ndarray, low: np.ndarray, side: np.ndarray, matches: int, percent: int) -> list[tuple[int, int]]:
@@ -176,10 +172,10 @@ def merge_list(n: np.ndarray, low: np.ndarray, side: np.ndarray, matches: int, p
     return out
 
 
-def candidate_forest(posted: DataFrame, matches: int, percent: int) -> DataFrame:
-    """(a, b): classes connected in some posting list."""
+def candidate_forest(posted: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """(a, b): classes connected in some posting list. Signatures, a byte of each minimum, join lists of two classes or more only."""
     lengths = posted.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1")
-    rows = posted.join(lengths, "token")
+    rows = posted.join(lengths, "token").join(classes.select("class", "n", "low"), "class")
     short = rows.filter(F.col("length") <= CHUNK).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "class", "n", "low", F.lit(2).alias("side"))
     # long lists: each class meets each chunk
     long = rows.filter(F.col("length") > CHUNK).withColumn("chunks", F.ceil(F.col("length") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
@@ -219,9 +215,9 @@ def needed_filter(needed: DataFrame, bits: int) -> np.ndarray:
         full = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(words[full].view(np.int64), pa.int64())], ["cell", "mask"])
 
-    found = map_batches(needed.select("text_hash", "class"), run, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()
+    found = map_batches(needed.select("text_hash", "class"), run, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(1 << bits, np.uint64)
-    out[found["cell"].to_numpy()] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    out[found["cell"].to_numpy()] = found["mask"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
@@ -326,10 +322,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_colum
     """
     matches = matches_needed(percent)
     rows = table(classify(docs, id_column, text_column, width), "classes")
-    classes = table(rows.filter("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("text_hash").alias("text_hash")), "distinct")
+    classes = table(rows.filter("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("low").alias("low"), F.min("text_hash").alias("text_hash")), "distinct")
     many = classes.count()
     counts = token_counts(classes, bits_for(many * 16))
-    forest = candidate_forest(postings(classes, counts, COORDINATES - matches + 1), matches, percent)
+    forest = candidate_forest(postings(classes, counts, COORDINATES - matches + 1), classes, matches, percent)
     labels = components(forest)
     needed = table(labels.join(classes.select("class", "text_hash"), F.col("node") == F.col("class")).select("label", "class", "text_hash"), "needed")
     sets = full_sets(docs, needed, many, text_column, width).dropDuplicates(["text_hash", "class"])
