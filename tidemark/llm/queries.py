@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, shards
+from . import bpe, minhash, mixing, shards, sketch, surrogates
 from .common import read
 
 #: Where the public vocabularies are; a parameter of the operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+#: In production the key is a secret; these tables are synthetic.
+KEY = "fixture-key"
+
+
+def op4_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(read(spark, sf_dir, "documents"), KEY)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("repeats", "part")
 
@@ -21,6 +29,10 @@ def op6_bpe_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op8_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.balance(read(spark, sf_dir, "documents"), shards=16)
 
@@ -29,4 +41,4 @@ def op9_minhash_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_by_document(read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mix_sources, op6_bpe_prefix_trie, op8_karmarkar_karp_shards, op9_minhash_coordinate_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_keyed_surrogates, op5_mix_sources, op6_bpe_prefix_trie, op7_bottom_k_sketch, op8_karmarkar_karp_shards, op9_minhash_coordinate_join)}
