@@ -148,17 +148,19 @@ def postings(classes: DataFrame, counts: np.ndarray, prefix: int) -> DataFrame:
 
 
 def merge_list(n: np.ndarray, low: np.ndarray, side: np.ndarray, matches: int, percent: int) -> list[tuple[int, int]]:
-    """A forest of the graph of pairs with enough agreeing coordinates and sizes that allow the similarity.
+    """What is connected by pairs with enough agreeing coordinates and sizes that allow the similarity: (first, member).
 
     side: of two chunks only pairs across count (0 with 1), in one chunk (all 2) every pair. A walk from each class
-    sees only those that nothing has reached yet.
+    sees only those that nothing has reached yet. Members are tied to the first of their walk, which lists of
+    the same classes have in common.
     """
     if len(n) > 2:
         low = np.ascontiguousarray(low)
     left, out = np.arange(len(n)), []
     whole = bool(len(side)) and side[0] == 2
     while len(left):
-        todo, left = [int(left[0])], left[1:]
+        first, left = int(left[0]), left[1:]
+        todo = [first]
         while todo and len(left):
             u = todo.pop()
             fit = ((low[left] == low[u]).sum(1) >= matches) & (100 * np.minimum(n[left], n[u]) >= percent * np.maximum(n[left], n[u]))
@@ -166,7 +168,7 @@ def merge_list(n: np.ndarray, low: np.ndarray, side: np.ndarray, matches: int, p
                 fit &= side[left] != side[u]
             reached = left[fit]
             if len(reached):
-                out += [(u, int(v)) for v in reached]
+                out += [(first, int(v)) for v in reached]
                 todo += reached.tolist()
                 left = left[~fit]
     return out
@@ -254,8 +256,8 @@ def full_sets(docs: DataFrame, needed: DataFrame, rows: int, text_column: str, w
 
 
 def link_forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest of the links of one task, by exact counts over an inverted index of what was seen before."""
-    n, forest, out = len(sets), Forest(len(sets)), []
+    """(first, member) of what the links of one task connect, by exact counts over an inverted index of its shingles."""
+    n, forest = len(sets), Forest(len(sets))
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -277,23 +279,22 @@ def link_forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
             fit &= side != side[u]
         fit[u] = False
         for v in np.flatnonzero(fit).tolist():
-            if forest.join(u, v):
-                out.append((u, v))
-    return out
+            forest.join(u, v)
+    return [(r, k) for k in range(n) if (r := forest.find(k)) != k]
 
 
-def confirm(candidates: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links that connect what is linked, from (label, class, shingles): exact counts within each label.
+def confirm(sets: DataFrame, needed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that connect what is linked, from sets and (label, class, text_hash): exact counts within each label.
 
     Labels above 2 * BLOCK classes are dealt in pairs of blocks: their number is at most BLOCKS until a block would
     exceed 16 * BLOCK classes.
     """
-    counts = candidates.groupBy("label").agg(F.count("*").alias("members"))
-    rows = candidates.join(counts, "label")
+    rows = needed.join(needed.groupBy("label").agg(F.count("*").alias("members")), "label")
     per_block = F.least(F.greatest(F.ceil(F.col("members") / BLOCKS), F.lit(BLOCK)), F.lit(16 * BLOCK))
     rows = rows.withColumn("blocks", F.when(F.col("members") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("members") / per_block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = (
-        rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sets.join(rows, ["text_hash", "class"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)})
         .select("label", "i", "j", "class", "side", "shingles")
         .repartition("label", "i", "j")
@@ -322,17 +323,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_colum
     """
     matches = matches_needed(percent)
     rows = table(classify(docs, id_column, text_column, width), "classes")
-    classes = table(rows.filter("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("low").alias("low"), F.min("text_hash").alias("text_hash")), "distinct")
+    found = rows.filter("class is not null").groupBy("class")
+    classes = table(found.agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("low").alias("low"), F.min("text_hash").alias("text_hash"), F.min("id").alias("own_id"), F.count("*").alias("copies")), "distinct")
     many = classes.count()
     counts = token_counts(classes, bits_for(many * 16))
     forest = candidate_forest(postings(classes, counts, COORDINATES - matches + 1), classes, matches, percent)
     labels = components(forest)
     needed = table(labels.join(classes.select("class", "text_hash"), F.col("node") == F.col("class")).select("label", "class", "text_hash"), "needed")
     sets = full_sets(docs, needed, many, text_column, width).dropDuplicates(["text_hash", "class"])
-    linked = components(confirm(sets.join(needed, ["text_hash", "class"]).select("label", "class", "shingles"), percent))
-    grouped = rows.join(linked, F.col("class") == F.col("node"), "left").select("id", "text_hash", "n", F.coalesce("label", "class").alias("group"))
-    firsts = grouped.filter("group is not null").groupBy("group").agg(F.min("id").alias("first_id"), F.count("*").alias("members"))
-    return grouped.join(firsts, "group", "left").select("id", "text_hash", "n", "group", "first_id", "members")
+    linked = components(confirm(sets, needed, percent))
+    # groups of several classes; all others are a class alone
+    several = classes.select("class", "own_id", "copies").join(linked, F.col("class") == F.col("node")).select("class", "label", "own_id", "copies")
+    totals = several.groupBy("label").agg(F.min("own_id").alias("first_id"), F.sum("copies").alias("members"))
+    several = several.join(totals, "label").select("class", F.col("label").alias("group"), "first_id", "members")
+    known = classes.select("class", "own_id", "copies").join(several, "class", "left").select("class", F.coalesce("group", "class").alias("group"), F.coalesce("first_id", "own_id").alias("first_id"), F.coalesce("members", "copies").alias("members"))
+    return rows.select("id", "text_hash", "n", "class").join(table(known, "groups"), "class", "left").select("id", "text_hash", "n", "group", "first_id", "members")
 
 
 def components_by_document(docs: DataFrame, percent: int = 85, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
