@@ -22,6 +22,9 @@ from .common import map_batches, texts
 #: The split of byte-level tokenizers of this family (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Bytes that the lengths of possible last tokens are looked up by.
+TAIL = 4
+
 
 def printable_bytes() -> dict[str, int]:
     """The characters that stand for bytes in vocabulary files: printable Latin-1 for itself, the rest from U+0100 on."""
@@ -33,7 +36,7 @@ def printable_bytes() -> dict[str, int]:
 class PrefixEncoder:
     """Encodes words of one vocabulary; words of one call share the work on their common prefixes."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         spec = json.loads(Path(path).read_text("utf-8"))
         to_byte = printable_bytes()
         spell = lambda s: bytes(to_byte[c] for c in s)
@@ -43,11 +46,11 @@ class PrefixEncoder:
         self.spelled = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.ranks = {(self.ids[spell(a)], self.ids[spell(b)]): (k, self.ids[spell(a + b)]) for k, (a, b) in enumerate(merges)}
-        # which tokens end on these three bytes (or are these one or two), by length, longest first
-        ends: dict[bytes, set[int]] = {}
-        for b in self.ids:
-            ends.setdefault(b[-3:], set()).add(len(b))
-        self.lengths = {k: tuple(sorted({n for s in range(len(k)) for n in ends.get(k[s:], ()) if s == 0 or n == len(k) - s}, reverse=True)) for k in ends}
+        # lengths of the tokens that end on these TAIL bytes; those of shorter tokens are added when a tail is first seen
+        self.long: dict[bytes, list[int]] = {}
+        for n, tail in sorted({(-len(b), b[-TAIL:]) for b in self.ids if len(b) >= TAIL}):
+            self.long.setdefault(tail, []).append(-n)
+        self.lengths: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.keep, self.known = keep, {}
@@ -65,11 +68,11 @@ class PrefixEncoder:
             parts[k : k + 2] = [self.ranks[parts[k], parts[k + 1]][1]]
         return parts
 
-    def shorter(self, tail: bytes) -> tuple[int, ...]:
-        """Lengths for a tail that no token of three bytes or more has."""
-        if len(self.lengths) > 1_000_000:
-            return (2, 1)
-        found = self.lengths[tail] = tuple(n for n in (2, 1) if n <= len(tail) and tail[len(tail) - n :] in self.ids)
+    def tail_lengths(self, tail: bytes) -> tuple[int, ...]:
+        """Lengths of all tokens that can end where a text ends on `tail`, longest first."""
+        if len(self.lengths) > 500_000:
+            self.lengths.clear()
+        found = self.lengths[tail] = (*self.long.get(tail, ()), *(n for n in range(min(TAIL - 1, len(tail)), 0, -1) if tail[len(tail) - n :] in self.ids))
         return found
 
     def fits(self, before: int, token: int) -> bool:
@@ -95,8 +98,8 @@ class PrefixEncoder:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                tail = word[end - 3 if end > 3 else 0 : end]
-                for length in lengths.get(tail) or self.shorter(tail):
+                tail = word[end - TAIL if end > TAIL else 0 : end]
+                for length in lengths.get(tail) or self.tail_lengths(tail):
                     begin = end - length
                     if begin < 0 or (token := ids.get(word[begin:end])) is None:
                         continue
