@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, secrets, shards, sketch, surrogates, toxicity, vectors
+from . import bpe, lattice, minhash, mixing, secrets, shards, sketch, surrogates, toxicity, vectors
 from .common import read
 
 #: Where the public vocabularies are; a parameter of the operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(read(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op2_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op10_sorted_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"), least_cosine=0.9)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_grammar_secrets, op3_block_max_neighbours, op4_keyed_surrogates, op5_mix_sources, op6_bpe_prefix_trie, op7_bottom_k_sketch, op8_karmarkar_karp_shards, op9_minhash_coordinate_join, op10_sorted_projection_passes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subword_lattice, op2_grammar_secrets, op3_block_max_neighbours, op4_keyed_surrogates, op5_mix_sources, op6_bpe_prefix_trie, op7_bottom_k_sketch, op8_karmarkar_karp_shards, op9_minhash_coordinate_join, op10_sorted_projection_passes)}
