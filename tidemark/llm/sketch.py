@@ -1,6 +1,6 @@
 """Bottom-k sketches of shingle hashes, in SQL functions only.
 
-A sketch is the sorted array of the k least distinct 64-bit hashes of a text's shingles of five lower-cased words.
+A sketch is the sorted array of the k least distinct 63-bit hashes of a text's shingles of five lower-cased words.
 Sketches of parts merge into the sketch of the whole. Sets with fewer than k shingles are kept whole, so what is
 said about them is exact.
 """
@@ -25,8 +25,9 @@ def word_hashes(text: Column) -> Column:
 
 def shingle_hashes(h: Column, width: int = WIDTH) -> Column:
     """Distinct hashes of shingles; fewer words than `width` are one shingle, with their number, none are none."""
-    many = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
-    return F.when(F.size(h) == 0, h).when(F.size(h) < width, F.array(F.xxhash64(h, F.size(h)))).otherwise(F.array_distinct(many))
+    top = F.lit(-(2**63))  # the first bit is set, so that all have 16 hexadecimal digits
+    many = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]).bitwiseOR(top))
+    return F.when(F.size(h) == 0, h).when(F.size(h) < width, F.array(F.xxhash64(h, F.size(h)).bitwiseOR(top))).otherwise(F.array_distinct(many))
 
 
 def bottom(hashes: Column, k: int = K) -> Column:
@@ -43,30 +44,27 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return bottom(F.array_union(a, b), k)
 
 
-def _shared(a: Column, b: Column, k: int) -> Column:
-    least = merge(a, b, k)
-    return F.size(F.filter(F.array_intersect(a, b), lambda x: x <= F.element_at(least, -1)))
+def resemblance(a: Column, b: Column, merged: Column) -> Column:
+    """Jaccard similarity from two sketches and their merged sketch; two empty sets are alike, an empty and another one aren't.
 
-
-def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    """Jaccard similarity; two empty sets are alike, an empty and another one aren't."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_shared(a, b, k) / F.size(merge(a, b, k)))
+    merged should be a column of its own: it is used twice. Of what it has, the share that both have is the estimate.
+    """
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), merged)) / F.size(merged))
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
     """Estimated number of distinct shingles; exact below k."""
-    place = (F.element_at(a, -1).cast("double") + 2.0**63) / 2.0**64
+    place = (F.element_at(a, -1).cast("double") + 2.0**63) / 2.0**63
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise((k - 1) / place)
 
 
-def containment(a: Column, b: Column, k: int = K) -> Column:
+def containment(a: Column, b: Column, merged: Column, k: int = K) -> Column:
     """How much of the first set is in the second: the intersection, by resemblance times the union, over the first. An empty first set is contained."""
-    union = distinct_shingles(merge(a, b, k), k)
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), resemblance(a, b, k) * union / distinct_shingles(a, k)))
+    return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), resemblance(a, b, merged) * distinct_shingles(merged, k) / distinct_shingles(a, k)))
 
 
 def as_text(a: Column) -> Column:
-    return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
+    return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.hex(x)), "")))
 
 
 def id_ranges(docs: DataFrame, column: str) -> Column:
@@ -123,14 +121,16 @@ def fingerprints(docs: DataFrame, k: int = K, id_column: str = "doc_id", text_co
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.left(F.coalesce("next_text", F.lit("")), cut))})
     rows = with_sketch(rows.drop("text", "next_text"), "edited", "other", k)
+    own, other, after = F.col("own"), F.col("other"), F.col("next_own")
+    rows = rows.withColumns({"merged": merge(own, other, k), "merged_next": merge(own, after, k)})
     return rows.select(
         F.col("id").alias(id_column),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("other")).alias("edited_fingerprint"),
-        resemblance(F.col("own"), F.col("other"), k).alias("near_edited"),
-        resemblance(F.col("own"), F.col("next_own"), k).alias("near_next"),
+        resemblance(own, other, F.col("merged")).alias("near_edited"),
+        resemblance(own, after, F.col("merged_next")).alias("near_next"),
         distinct_shingles(F.col("own"), k).alias("n_shingles"),
-        containment(F.col("own"), F.col("other"), k).alias("edited_contained"),
+        containment(own, other, F.col("merged"), k).alias("edited_contained"),
     )
