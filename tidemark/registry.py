@@ -24,7 +24,7 @@ def query(oracle: str | None = None):
 
 
 def load_all() -> None:
-    from tidemark.plans import analytics, composite, quality, scalars  # noqa: F401
+    from tidemark.plans import analytics, composite, performance, quality, scalars  # noqa: F401
 
 
 load_all()
