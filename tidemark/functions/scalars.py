@@ -38,7 +38,7 @@ def is_number(c: Column) -> Column:
 
 def is_calendar_date(c: Column) -> Column:
     """Begins with yyyy-mm-dd and that day exists. Null in, null out."""
-    return c.rlike(DATE_PREFIX) & F.substring(c, 1, 10).try_cast("date").isNotNull()
+    return F.when(c.isNotNull(), c.rlike(DATE_PREFIX) & F.substring(c, 1, 10).try_cast("date").isNotNull())
 
 
 def money(c: Column) -> Column:

@@ -305,3 +305,24 @@ def partition_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT min(m) AS declared_from, max(m) AS declared_to, count(*) AS months FROM (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS m FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01' AND l_shipdate < TIMESTAMP '2001-06-01')")
 def declared_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition_registry(spark, sf_dir).filter(F.col("event_month") != facts.DEFAULT_PARTITION).agg(F.min("event_month").alias("declared_from"), F.max("event_month").alias("declared_to"), F.count("*").alias("months"))
+
+
+# --- incremental loads ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def watermark_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads by watermark, the last a replay: the table of one load of everything."""
+    from uuid import uuid4
+
+    from tidemark.plans.control import incremental_load
+    from tidemark.plans.keep import shared_root
+    from tidemark.sources.tables import Store
+
+    store = Store(spark, f"{shared_root(spark)}/incremental-{uuid4().hex[:12]}")
+    landing = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").alias("ingested_at"))
+    middle = F.lit("2024-01-15").cast("timestamp_ntz")
+    incremental_load(store, landing.filter(F.col("ingested_at") < middle), "events", ("int", "event"), ["event_id"])
+    for _ in range(2):
+        incremental_load(store, landing, "events", ("int", "event"), ["event_id"])
+    return store.read("int", "event").select("event_id", "user_id", "event_type")

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; a session that names none gets one of its own, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or (Path.cwd() / "spark-warehouse" / "checkpoints").as_uri()).rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; a session that names none gets one, as in tests."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """A reliable checkpoint: later readers start from files that every executor sees."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or (Path.cwd() / "spark-warehouse" / "checkpoints").as_uri())
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -46,7 +46,7 @@ def norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return injected(spark, sf_dir, SPELLINGS).select("o_orderkey", S.match_name(F.col("x")).alias("name"))
 
 
-@query(f"WITH {injected_sql(DATES)} SELECT o_orderkey, regexp_matches(x, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_cast(substr(x, 1, 10) AS DATE) IS NOT NULL AS is_date FROM x WHERE x IS DISTINCT FROM '0000-00-00'")
+@query(f"WITH {injected_sql(DATES)} SELECT o_orderkey, CASE WHEN x IS NOT NULL THEN regexp_matches(x, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_cast(substr(x, 1, 10) AS DATE) IS NOT NULL END AS is_date FROM x WHERE x IS DISTINCT FROM '0000-00-00'")
 def is_real_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return injected(spark, sf_dir, DATES).filter(~F.col("x").eqNullSafe("0000-00-00")).select("o_orderkey", S.is_calendar_date(F.col("x")).alias("is_date"))
 
