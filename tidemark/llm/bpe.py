@@ -36,7 +36,7 @@ def printable_bytes() -> dict[str, int]:
 class PrefixEncoder:
     """Encodes words of one vocabulary; words of one call share the work on their common prefixes."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 600_000):
         spec = json.loads(Path(path).read_text("utf-8"))
         to_byte = printable_bytes()
         spell = lambda s: bytes(to_byte[c] for c in s)

@@ -29,13 +29,13 @@ NEIGHBOURS, BLOCK = 15, 32
 
 
 class WordTerms(dict):
-    """Terms of a word as it stands in a text, kept while there are fewer than half a million words; all terms, or the numbers of known ones."""
+    """Terms of a word as it stands in a text, kept while there are fewer than 150,000 words (all terms: 30,000); all terms, or the numbers of known ones."""
 
     def __init__(self, known: dict[str, int] | None = None):
         self.known = known
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) > 500_000:
+        if len(self) > (150_000 if self.known is not None else 30_000):
             self.clear()
         bare = word.lower()
         while bare and not bare[0].isalnum():
@@ -182,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
         for batch in batches:
             for text, label in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
                 found[label].update(counted(text, words)[0].keys())
-            if sum(map(len, found)) > 500_000:
+            if sum(map(len, found)) > 150_000:
                 yield from emit(found)
                 found = (Counter(), Counter())
         yield from emit(found)
