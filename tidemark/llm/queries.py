@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice, minhash, mixing, secrets, shards, sketch, surrogates, toxicity, vectors
+from . import bpe, lattice, minhash, mixing, oracles, secrets, shards, sketch, surrogates, toxicity, vectors
 from .common import read
 
 #: Where the public vocabularies are; a parameter of the operators.
@@ -59,3 +59,6 @@ def op10_sorted_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subword_lattice, op2_grammar_secrets, op3_block_max_neighbours, op4_keyed_surrogates, op5_mix_sources, op6_bpe_prefix_trie, op7_bottom_k_sketch, op8_karmarkar_karp_shards, op9_minhash_coordinate_join, op10_sorted_projection_passes)}
+
+#: Twins in SQL; the other queries' results aren't SQL, tests hold them against brute force.
+ORACLES: dict[str, str] = {"op5_mix_sources": oracles.MIX, "op9_minhash_coordinate_join": oracles.NEAR, "op10_sorted_projection_passes": oracles.VECTORS}
