@@ -67,7 +67,7 @@ def test_partitioned_fact_is_pruned_at_plan_time_and_at_run_time(spark, sf_dir,
     assert "event_month" in facts["partition_filters"][0]
     want = li.filter("l_shipdate >= timestamp_ntz'1998-01-01' and l_shipdate < timestamp_ntz'1998-03-01'").count()
     assert pruned.count() == want and pruned.select(F.input_file_name()).distinct().count() == 2
-    months = spark.createDataFrame([("1998-01", True), ("1998-02", True), ("1999-01", False)], "m string, wanted boolean").filter("wanted")
+    months = store.write(spark.createDataFrame([("1998-01", "x"), ("1998-02", "x"), ("1999-01", "y")], "m string, kind string"), "mart", "months").filter("kind = 'x'")
     dynamic = fact.join(F.broadcast(months), F.col("event_month") == F.col("m"))
     assert "dynamicpruning" in dynamic._jdf.queryExecution().executedPlan().toString() and dynamic.count() == want
 
