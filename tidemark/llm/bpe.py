@@ -36,7 +36,7 @@ def printable_bytes() -> dict[str, int]:
 class PrefixEncoder:
     """Encodes words of one vocabulary; words of one call share the work on their common prefixes."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 500_000):
         spec = json.loads(Path(path).read_text("utf-8"))
         to_byte = printable_bytes()
         spell = lambda s: bytes(to_byte[c] for c in s)
@@ -53,7 +53,7 @@ class PrefixEncoder:
         self.lengths: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.keep, self.known = keep, {}
+        self.keep, self.known = keep, dict[str, str]()
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -121,14 +121,17 @@ class PrefixEncoder:
             yield word, out[::-1]
 
     def learn(self, words: Iterable[str]) -> None:
-        """Puts what the digests need of each word into `known`: ids as text, their number, the decoded bytes."""
+        """Puts the ids of each word, as text, into `known`. Each is decoded again and must give the word's bytes, so
+        that what a sequence of known words decodes to is the text that they were split from."""
         new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
             new = set(words)
         by_bytes = {w.encode(): w for w in new}
         for spelled, out in self.encode_words(by_bytes):
-            self.known[by_bytes[spelled]] = (",".join(map(str, out)), len(out), self.decode(out))
+            if self.decode(out) != spelled:
+                raise ValueError(f"{out} doesn't decode to {spelled!r}")
+            self.known[by_bytes[spelled]] = ",".join(map(str, out))
 
     def decode(self, out: Iterable[int]) -> bytes:
         return b"".join(map(self.spelled.__getitem__, out))
@@ -178,12 +181,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
                 split = [e.pieces(t) for t in column[begin:end]]
                 e.learn(set().union(*split) - e.special.keys())
                 known = e.known
-                for words in split:
-                    found = [known[w] if w not in e.special else (str(e.special[w]), 1, w.encode()) for w in words] if e.special.keys() & set(words) else [known[w] for w in words]
-                    listed = ",".join([x[0] for x in found])
-                    out[0].append(sum([x[1] for x in found]))
+                for text, words in zip(column[begin:end], split):
+                    special = e.special.keys() & set(words) if e.cut is not None and any(x in text for x in e.special) else ()
+                    listed = ",".join([known[w] if w not in special else str(e.special[w]) for w in words] if special else map(known.__getitem__, words))
+                    out[0].append(listed.count(",") + 1 if listed else 0)
                     out[1].append(hashlib.sha256(listed.encode()).hexdigest())
-                    out[2].append(hashlib.sha256(b"".join([x[2] for x in found]).decode("utf-8", "replace").encode()).hexdigest())
+                    out[2].append(hashlib.sha256("".join(words).encode()).hexdigest())
                     if with_ids:
                         out[3].append([int(x) for x in listed.split(",")] if listed else [])
                 begin = end
