@@ -243,17 +243,10 @@ def learn(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> F
                     least[""].add(word[:DEPTH])
         for kind, x in least.items():
             x.cut()
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x.held), pa.string()), pa.array(list(x.held), pa.string())], ["kind", "value"])
-
-    found = table(map_batches(docs.select(text_column), run, "kind string, value string").distinct(), "values")
-    taken = {}
-    for kind in ("", *KINDS[:3]):
-        least = Least(sample)
-        # the order within Spark is another one; it only bounds what the driver sees of many tasks' values
-        for r in found.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect():
-            least.add(r["value"])
-        least.cut()
-        taken[kind] = list(least.held)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x.held), pa.string()), pa.array(list(x.held), pa.string()), pa.array([h - (1 << 63) for h in x.held.values()], pa.int64())], ["kind", "value", "h"])
+
+    found = table(map_batches(docs.select(text_column), run, "kind string, value string, h long").distinct(), "values")
+    taken = {kind: [r["value"] for r in found.filter(F.col("kind") == kind).orderBy("h", "value").limit(sample).collect()] for kind in ("", *KINDS[:3])}
     return Formats({k: taken[k] for k in KINDS[:3]}, taken[""])
 
 
