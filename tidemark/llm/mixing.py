@@ -85,8 +85,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, we
 def apply_mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = (3, 1, 2), seed: int = 42, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mixture itself: docs with each row as often as it is taken, the last time perhaps cut after `part` words.
 
-    Columns are those of docs; n_chars, where there is one, follows a cut text. Rows are matched by id, so ids that
-    occur more than once share what they take by the mean of their repeats; ids are unique in `documents`.
+    Columns are those of docs; n_chars, where there is one, follows a cut text. Rows are matched by id: rows with an id
+    that occurs more than once all take the most that one of them does; ids are unique in `documents`.
     """
     plan = mix_sources(docs, share, max_epochs, weights, seed, id_column, text_column, source_column)
     plan = plan.groupBy(F.col(id_column).alias("__id")).agg(F.max("repeats").alias("__repeats"), F.max("part").alias("__part"), F.max("size").alias("__size"))
