@@ -71,22 +71,24 @@ def islands(df: DataFrame, keys: Sequence[str], month_index: str) -> DataFrame:
     return run.groupBy(*keys, "__run").agg(F.min(month_index).alias("first"), F.max(month_index).alias("last"), F.count("*").alias("length")).drop("__run")
 
 
-def tree_paths(edges: DataFrame, node: str, parent: str, most_levels: int = 32) -> DataFrame:
-    """(root, node, depth, path, is_cycle) of every node below every root, level by level; a node that repeats on its path ends it, marked.
+def tree_paths(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """(root, node, depth, path, is_cycle) of every node below every root; a node that repeats on its path ends it, marked.
 
-    Roots have a null parent or one that isn't in the relation. Cycles that no root leads to are walked from each of their nodes.
+    Roots have a null parent or one that isn't in the relation; a cycle that no root leads to has no root and isn't walked. The depth is
+    bounded by spark.sql.cteRecursionLevelLimit, beyond which the query fails.
     """
     e = edges.select(F.col(node).alias("node"), F.col(parent).alias("up"))
     known = e.select(F.col("node").alias("known"))
-    level = e.join(known, F.col("up") == F.col("known"), "left").filter("known is null").select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("is_cycle"))
-    out = level
-    for depth in range(1, most_levels + 1):
-        below = e.withColumnsRenamed({"node": "child", "up": "above"})
-        level = level.filter("not is_cycle").join(below, F.col("node") == F.col("above")).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("is_cycle"))
-        if level.limit(1).count() == 0:
-            return out
-        out = out.unionByName(level)
-    raise RuntimeError(f"more than {most_levels} levels")
+    roots = e.join(known, F.col("up") == F.col("known"), "left_anti").select("node")
+    return edges.sparkSession.sql(
+        """WITH RECURSIVE t(root, node, depth, path, is_cycle) AS (
+             SELECT node, node, 0, array(node), false FROM {roots}
+             UNION ALL
+             SELECT t.root, e.node, t.depth + 1, concat(t.path, array(e.node)), array_contains(t.path, e.node) FROM t JOIN {e} e ON e.up = t.node WHERE NOT t.is_cycle)
+           SELECT * FROM t""",
+        roots=roots,
+        e=e,
+    )
 
 
 def merge_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], update: dict[str, Column] | None = None, insert: dict[str, Column] | None = None) -> DataFrame:

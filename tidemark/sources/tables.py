@@ -14,8 +14,16 @@ from pyspark.sql import types as T
 INGEST = [T.StructField("source_batch_id", T.StringType(), False), T.StructField("ingested_at", T.TimestampNTZType(), False), T.StructField("source_file", T.StringType(), False), T.StructField("raw_line_no", T.LongType(), False), T.StructField("payload_hash", T.StringType(), False)]
 
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A fixture table. Its schema is read from a footer once in a session, not for every query."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 class ContractError(ValueError):
