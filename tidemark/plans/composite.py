@@ -326,3 +326,33 @@ def watermark_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         incremental_load(store, landing, "events", ("int", "event"), ["event_id"])
     return store.read("int", "event").select("event_id", "user_id", "event_type")
+
+
+# --- the dense monthly aggregate ------------------------------------------------------------------------------------
+
+_GRID_SQL = """g AS (SELECT broker, CAST(month AS DATE) AS month FROM cur CROSS JOIN (SELECT unnest(generate_series((SELECT min(CAST(date_trunc('month', received_date) AS DATE)) FROM deals), (SELECT max(CAST(date_trunc('month', received_date) AS DATE)) FROM deals), INTERVAL 1 MONTH)) AS month))
+SELECT broker, month, coalesce(deals, 0) AS deals, coalesce(won, 0) AS won, CAST(coalesce(value, 0) AS DECIMAL(28,2)) AS value, coalesce(deals, 0) = 0 AS is_inactive_month FROM g LEFT JOIN a USING (broker, month)"""
+_ACTIVITY_SQL = "CAST(date_trunc('month', received_date) AS DATE) AS month, count(*) AS deals, count(*) FILTER (WHERE is_won) AS won, sum(value) AS value"
+
+
+def _broker_month(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    dim = kept(scd2.with_keys(broker_dim(spark, sf_dir), "broker", "sk"))
+    d = deals(spark, sf_dir).withColumns({"at": F.col("received_date").cast("timestamp_ntz"), "month": S.month_of(F.col("received_date"))})
+    fact = relational.point_in_time(d, dim, "broker", "broker", "at", "sk") if key == "sk" else d
+    activity = fact.groupBy(key, "month").agg(F.count("*").alias("deals"), F.count(F.when(F.col("is_won"), 1)).alias("won"), F.sum("value").alias("value"))
+    months = d.agg(F.explode(F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))).alias("month"))
+    members = dim.filter("is_current").select("broker", "sk")
+    grid = relational.dense_grid(members, months, activity, [key, "month"], ["deals", "won"])
+    return grid.select("broker", "month", "deals", "won", F.coalesce("value", F.lit(0)).cast("decimal(28,2)").alias("value"), (F.col("deals") == 0).alias("is_inactive_month"))
+
+
+@query(f"WITH {DEALS_SQL}, {SNAPSHOT_SQL}, cur AS (SELECT * FROM dim WHERE valid_to = TIMESTAMP '9999-12-31'), a AS (SELECT d.broker, {_ACTIVITY_SQL} FROM deals d JOIN cur ON cur.broker = d.broker AND CAST(received_date AS TIMESTAMP) >= cur.valid_from GROUP BY 1, 2), {_GRID_SQL}")
+def broker_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current versions by month, by the version's key: what happened under an earlier version isn't in it. broker_month_person has that too."""
+    return _broker_month(spark, sf_dir, "sk")
+
+
+@query(f"WITH {DEALS_SQL}, {SNAPSHOT_SQL}, cur AS (SELECT * FROM dim WHERE valid_to = TIMESTAMP '9999-12-31'), a AS (SELECT broker, {_ACTIVITY_SQL} FROM deals GROUP BY 1, 2), {_GRID_SQL}")
+def broker_month_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by person, whatever the version was at the time."""
+    return _broker_month(spark, sf_dir, "broker")
