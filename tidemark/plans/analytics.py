@@ -304,7 +304,7 @@ FROM w FULL JOIN i ON w.attribute = i.attribute ORDER BY abs(coalesce(i.v, 0) -
 )
 def q14_as_was(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Won deals by what their broker was at receipt and by what it is now."""
-    dim = kept(scd2.with_keys(broker_dim(spark, sf_dir), "broker", "broker_sk"))  # read four times
+    dim = kept(scd2.with_keys(kept(broker_dim(spark, sf_dir)), "broker", "broker_sk"))  # read four times
     won = deals(spark, sf_dir).filter("is_won").withColumn("at", F.col("received_date").cast("timestamp_ntz"))
     fact = relational.point_in_time(won, dim, "broker", "broker", "at", "broker_sk").filter("broker_sk != -1")
     was = fact.join(dim.select("broker_sk", F.col("attribute").alias("was")), "broker_sk")

@@ -65,7 +65,7 @@ def scd2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DEALS_SQL}, {SNAPSHOT_SQL} SELECT deal, d.broker, coalesce(dim.attribute, 'Unknown') AS attribute, coalesce(dim.valid_from, TIMESTAMP '1900-01-01') AS version_from FROM deals d LEFT JOIN dim ON dim.broker = d.broker AND CAST(received_date AS TIMESTAMP) >= valid_from AND CAST(received_date AS TIMESTAMP) < valid_to")
 def pit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = kept(scd2.with_keys(broker_dim(spark, sf_dir), "broker", "sk"))
+    dim = kept(scd2.with_keys(kept(broker_dim(spark, sf_dir)), "broker", "sk"))
     fact = deals(spark, sf_dir).select("deal", "broker", F.col("received_date").cast("timestamp_ntz").alias("at"))
     found = relational.point_in_time(fact, dim, "broker", "broker", "at", "sk")
     versions = dim.select("sk", "attribute", F.col("valid_from").alias("version_from"))
@@ -86,7 +86,7 @@ def asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DEALS_SQL}, {SNAPSHOT_SQL} SELECT deal, d.broker, cur.attribute FROM deals d JOIN dim cur ON cur.broker = d.broker AND cur.valid_to = TIMESTAMP '9999-12-31'")
 def two_hop_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = kept(scd2.with_keys(broker_dim(spark, sf_dir), "broker", "sk"))
+    dim = kept(scd2.with_keys(kept(broker_dim(spark, sf_dir)), "broker", "sk"))
     fact = relational.point_in_time(deals(spark, sf_dir).select("deal", "broker", F.col("received_date").cast("timestamp_ntz").alias("at")), dim, "broker", "broker", "at", "sk")
     return relational.current_of_version(fact, dim, "sk", "broker", ["attribute"]).select("deal", "broker", "attribute")
 
@@ -336,7 +336,7 @@ _ACTIVITY_SQL = "CAST(date_trunc('month', received_date) AS DATE) AS month, coun
 
 
 def _broker_month(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    dim = kept(scd2.with_keys(broker_dim(spark, sf_dir), "broker", "sk"))
+    dim = kept(scd2.with_keys(kept(broker_dim(spark, sf_dir)), "broker", "sk"))
     d = deals(spark, sf_dir).withColumns({"at": F.col("received_date").cast("timestamp_ntz"), "month": S.month_of(F.col("received_date"))})
     fact = relational.point_in_time(d, dim, "broker", "broker", "at", "sk") if key == "sk" else d
     activity = fact.groupBy(key, "month").agg(F.count("*").alias("deals"), F.count(F.when(F.col("is_won"), 1)).alias("won"), F.sum("value").alias("value"))
