@@ -62,6 +62,18 @@ def test_formats_scripts_genders_and_coreference(spark):
     assert run(spark, ["x a@b.example.com"], "k") == run(spark, ["x a@b.example.com"], "k") != run(spark, ["x a@b.example.com"], "other")
 
 
+def test_no_match_fails_the_hint(spark):
+    numbers = ["+45 12 34 56 78", "+47 22 12 34 56", "+33 61 23 45 67", "+49 30 12 34 56"]
+    others = ["a@b.io", "1.2.3.4", "1234 5678 9012 3456", "123-45-6789", "(12) 345 678", "+1 (12) 345-6789", "123-456-7890", "123.456.7890"]
+    names = [f"{title} Xu Yo" for title in "Mr Mrs Ms Miss Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Г-н Г-жа".split()]
+    found = [*numbers, *others, *names]
+    out = surrogates.replace(spark.createDataFrame([(k, f"x {m} y") for k, m in enumerate(found)], "doc_id long, text string").coalesce(1), "k").collect()
+    assert [(r["doc_id"], r["n_entities"]) for r in out if r["n_entities"] != 1 or found[r["doc_id"]] in r["text"]] == []
+    # the same number has the same surrogate in a text that has more
+    alone, beside = run(spark, [f"x {numbers[0]} y", f"x {numbers[0]} y 12345"])
+    assert f"{alone} 12345" == beside
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "SYLLABLES", {"latin": ["ab", "cd"], "cyrillic": ["аб"]})
     texts = [f"Herr {c}{v}r came" for c in "BDFGKLMNPRST" for v in "ae"][:10]

@@ -26,7 +26,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that no match can fail.
-HINT = r"@|\d{3}|\d\.\d|Mr|Ms|Miss|Herr|Frau|M[ao]|Mme|S[er]|Г-"
+HINT = r"@|\d{3}|\d\.\d|\+\d|Mr|Ms|Miss|Herr|Frau|M[ao]|Mme|S[er]|Г-"
 
 MALE = r"^(?:Mr|Herr|Monsieur|Señor|Sr|Г-н)\b"
 #: Given names by script and gender, and syllables for family names: fixed values.
