@@ -1,9 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over terms that tell labelled classes apart, with one more component for all other words, so that a
-single such term in a long text weighs little. The nearest examples by exact cosine come from an inverted index with the
-largest weight of each term in each block of examples: blocks whose bound is below the k-th best so far are skipped.
-Votes weighted by similarity are calibrated on the examples themselves, each left out of its own vote.
+Texts are TF-IDF vectors over all words that the examples have. A word's weight is its inverse document frequency in the whole corpus times
+how far the labelled classes differ in it; that factor is LEAST_FACTOR for words that don't tell them apart, so every word counts
+and every text that shares a word with an example has neighbours. The nearest examples by exact cosine come from an inverted index
+in blocks of examples: a posting list is a slice for each block, each block has the largest weight of each term, and
+slices of blocks whose bound is below the k-th best so far are never read. Votes weighted by similarity are calibrated
+on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -20,136 +22,152 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, remainder, texts
 
-#: Bounds: examples of each class, by hash of their id, and terms. Terms are words and the first letters of words.
-TOXIC_EXAMPLES, CLEAN_EXAMPLES, TERMS = 2000, 4000, 1024
-PREFIXES = (4, 5, 6, 7)
-#: A term is of use if the classes' document frequencies differ by so many standard errors, and so many examples have it.
-LEAST_Z, LEAST_EXAMPLES = 5.0, 6
-NEIGHBOURS, BLOCK = 15, 32
+#: Bounds of the sample of labelled rows: examples of each class, the first by hash of their id, among those of at most so many bytes of text.
+TOXIC_EXAMPLES, CLEAN_EXAMPLES, LONGEST_EXAMPLE = 1500, 2500, 1 << 17
+#: A word's factor grows from the least to 1 more where the classes' document frequencies differ by 4 to 8 standard errors, in either direction.
+LEAST_FACTOR, FROM_Z, TO_Z = 0.2, 4.0, 8.0
+NEIGHBOURS, BLOCK = 15, 64
 
 
-class WordTerms(dict):
-    """Terms of a word as it stands in a text, kept while there are fewer than 150,000 words (all terms: 30,000); all terms, or the numbers of known ones."""
+def bare(word: str) -> str:
+    """Lower case, from the first letter or digit to the last; empty if it has none."""
+    if not word.isalnum():
+        first = next((k for k, c in enumerate(word) if c.isalnum()), len(word))
+        last = next((k for k in range(len(word), first, -1) if word[k - 1].isalnum()), first)
+        word = word[first:last]
+    return unicodedata.normalize("NFC", word.lower())
 
-    def __init__(self, known: dict[str, int] | None = None):
+
+class Words(dict):
+    """The number of a word's term, -1 for none; shorter words are kept as they stand in texts while there are fewer than 150,000."""
+
+    def __init__(self, known: dict[str, int]):
         self.known = known
 
-    def __missing__(self, word: str) -> tuple:
-        if len(self) > (150_000 if self.known is not None else 30_000):
-            self.clear()
-        bare = word.lower()
-        while bare and not bare[0].isalnum():
-            bare = bare[1:]
-        while bare and not bare[-1].isalnum():
-            bare = bare[:-1]
-        bare = unicodedata.normalize("NFC", bare)
-        terms = ([bare] + [f"{bare[:n]}*" for n in PREFIXES if len(bare) > n]) if bare and len(bare) < 64 else []
-        out = self[word] = tuple(terms) if self.known is None else tuple(self.known[t] for t in terms if t in self.known)
+    def __missing__(self, word: str) -> int:
+        out = self.known.get(bare(word), -1)
+        if len(word) <= 64:
+            if len(self) > 150_000:
+                self.clear()
+            self[word] = out
         return out
 
-
-def counted(text: str, words: WordTerms) -> tuple[Counter, int]:
-    """Occurrences of terms, and the number of words without any."""
-    found: Counter = Counter()
-    rest = 0
-    for word, n in Counter(text.split()).items():
-        terms = words[word]
-        if terms:
-            for t in terms:
-                found[t] += n
-        else:
-            rest += n
-    return found, rest
+    def count(self, text: str) -> dict[int, int]:
+        """How often a text has each term."""
+        found: dict[int, int] = {}
+        for word, n in Counter(text.split()).items():
+            if (k := self[word]) >= 0:
+                found[k] = found.get(k, 0) + n
+        return found
 
 
 @dataclass
 class Index:
-    """Labelled examples as posting lists with block maxima."""
-
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    labels: np.ndarray  # of examples with a term
-    weights: np.ndarray  # of examples: how many labelled rows each stands for
-    ids: np.ndarray
-    rest: np.ndarray
-    starts: np.ndarray = field(default=None)
-    docs: np.ndarray = field(default=None)
-    values: np.ndarray = field(default=None)
-    block_max: np.ndarray = field(default=None)
-    rest_max: np.ndarray = field(default=None)
-    plain: tuple[float, float] = (0.0, 0.0)  # weight of toxic and of all examples without a term
+    """Labelled examples as posting lists in slices by block, with block maxima."""
+
+    vocabulary: list[str]
+    weight: np.ndarray  # of terms
+    labels: np.ndarray  # of examples
+    stand_for: np.ndarray  # of examples: how many labelled rows each stands for
+    ids: list
+    terms: np.ndarray  # of postings, by term and example
+    docs: np.ndarray
+    values: np.ndarray
     line: tuple[float, float] = (1.0, 0.0)  # calibration: logit of the score = first * vote + second
-    empty_score: float = 0.0
-
-    def vector(self, found: Counter, rest: int) -> tuple[np.ndarray, np.ndarray, float]:
-        terms = np.fromiter(found.keys(), np.int64, len(found))
-        w = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.idf[terms]
-        other = np.log1p(rest)
-        norm = np.sqrt((w * w).sum() + other * other)
-        return (terms, w / norm, other / norm) if norm else (terms, w, other)
-
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray, float]]) -> None:
-        n, blocks = len(vectors), -(-len(vectors) // BLOCK)
-        terms = np.concatenate([v[0] for v in vectors]) if n else np.empty(0, np.int64)
-        docs = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
-        values = np.concatenate([v[1] for v in vectors]) if n else np.empty(0)
+    share: float = 0.0  # of toxic rows among the labelled ones: the vote of a text without neighbours
+    offsets: np.ndarray = field(default=None)
+    block_max: np.ndarray = field(default=None)
+    number: dict[str, int] = field(default=None)
+
+    @classmethod
+    def of(cls, vocabulary: list[str], weight: np.ndarray, labels: np.ndarray, stand_for: np.ndarray, ids: list, found: list[dict[int, int]]) -> Index:
+        vectors = [vector(weight, f) for f in found]
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
+        values = np.concatenate([v for _, v in vectors]) if vectors else np.empty(0)
+        docs = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         order = np.lexsort((docs, terms))
-        self.docs, self.values = docs[order], values[order]
-        self.starts = np.searchsorted(terms[order], np.arange(len(self.idf) + 1))
-        self.block_max = np.zeros((len(self.idf), max(1, blocks)))
-        np.maximum.at(self.block_max, (terms, docs // BLOCK), values)
-        self.rest_max = np.zeros(max(1, blocks))
-        np.maximum.at(self.rest_max, np.arange(n) // BLOCK, self.rest)
-
-    def cosines(self, terms: np.ndarray, q: np.ndarray, other: float, blocks: np.ndarray) -> np.ndarray:
-        """Exact cosines with the examples of some blocks; -1 elsewhere."""
-        inside = np.repeat(blocks, BLOCK)[: len(self.labels)]
-        out = np.where(inside, self.rest * other, -1.0)
-        for t, w in zip(terms.tolist(), q.tolist()):
-            a, b = self.starts[t], self.starts[t + 1]
-            docs = self.docs[a:b]
-            out[docs] += np.where(inside[docs], self.values[a:b] * w, 0.0)
-        return out
-
-    def nearest(self, terms: np.ndarray, q: np.ndarray, other: float, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k best examples that have a term, by descending exact cosine and then place; skip is left out."""
-        n = len(self.labels)
-        if not n:
+        total = float(stand_for.sum())
+        return cls(vocabulary, weight, labels, stand_for, ids, terms[order].astype(np.int32), docs[order].astype(np.int32), values[order], share=float(stand_for[labels == 1].sum()) / total if total else 0.0).laid_out()
+
+    def __getstate__(self) -> dict:
+        """What follows from the postings isn't sent to the tasks."""
+        return self.__dict__ | {"offsets": None, "block_max": None, "number": None}
+
+    def laid_out(self) -> Index:
+        if self.offsets is None:
+            blocks = self.blocks
+            cell = self.terms.astype(np.int64) * blocks + self.docs // BLOCK
+            counts = np.bincount(cell, minlength=len(self.weight) * blocks)
+            self.offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            self.block_max = np.zeros(len(self.weight) * blocks, np.float32)
+            full = np.flatnonzero(counts)
+            if len(full):
+                self.block_max[full] = np.nextafter(np.maximum.reduceat(self.values, self.offsets[full]).astype(np.float32), np.float32(2))
+            self.block_max = self.block_max.reshape(-1, blocks)
+            self.number = {t: k for k, t in enumerate(self.vocabulary)}
+        return self
+
+    @property
+    def blocks(self) -> int:
+        return max(1, -(-len(self.labels) // BLOCK))
+
+    def read(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray, scores: np.ndarray) -> int:
+        """Adds the exact cosines with the examples of some blocks, from these blocks' slices; returns the number of postings read."""
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        begin = self.offsets[cells]
+        size = self.offsets[cells + 1] - begin
+        some = np.flatnonzero(size)
+        begin, size = begin[some], size[some]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return 0
+        at = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
+        scores += np.bincount(self.docs[at], self.values[at] * np.repeat(np.repeat(q, len(blocks))[some], size), len(scores))
+        return int(ends[-1])
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k best examples that share a word, by descending exact cosine and then place; skip is left out."""
+        scores = np.zeros(len(self.labels))
+        if not len(terms) or not len(scores):
             return np.empty(0, np.int64), np.empty(0)
-        bound = q @ self.block_max[terms] + other * self.rest_max + 1e-9
-        first = np.zeros(len(bound), bool)
-        first[np.argsort(-bound, kind="stable")[: -(-(k + 1) // BLOCK) + 3]] = True
-        scores = self.cosines(terms, q, other, first)
-        if skip >= 0:
-            scores[skip] = -1.0
-        kth = np.partition(scores, n - k)[n - k] if n > k else -1.0
-        more = ~first & (bound >= kth)
-        if more.any():
-            rest = self.cosines(terms, q, other, more)
+        bound = (q.astype(np.float32) @ self.block_max[terms]) * np.float32(1 + 1e-5) + np.float32(1e-9)
+        todo = np.argsort(-bound, kind="stable")
+        todo = todo[bound[todo] > 1e-9]
+        step, kth = 1 + k // BLOCK, 0.0
+        while len(todo):
+            # the bounds fall along the order, so the first that can't reach the k-th best ends it
+            todo = todo[bound[todo] >= kth]
+            self.read(terms, q, todo[:step], scores)
+            todo, step = todo[step:], 2 * step
             if skip >= 0:
-                rest[skip] = -1.0
-            scores = np.maximum(scores, rest)
-        best = np.lexsort((np.arange(n), -scores))[:k]
-        best = best[scores[best] > -0.5]
+                scores[skip] = 0.0
+            if len(scores) > k:
+                kth = np.partition(scores, -k)[-k]
+        some = np.flatnonzero(scores >= max(kth, 1e-300))
+        best = some[np.lexsort((some, -scores[some]))][:k]
         return best, scores[best]
 
-    def vote(self, found: Counter, rest: int, skip: int = -1) -> tuple[float, str]:
-        """Share of toxic weight among the nearest, each by its similarity to the fourth power, and the evidence."""
-        terms, q, other = self.vector(found, rest)
-        best, near = self.nearest(terms, q, other, skip=skip)
-        strength = self.weights[best] * near**4
-        toxic, total = float(strength[self.labels[best] == 1].sum()), float(strength.sum())
-        # examples without a term are one more neighbour, as near as the share of other words makes them
-        share = self.plain[0] / self.plain[1] if self.plain[1] else 0.0
-        extra = float(self.weights.mean() if len(self.weights) else 1.0) * other**4
-        vote = (toxic + share * extra) / (total + extra) if total + extra else share
+    def vote(self, found: dict[int, int], skip: int = -1) -> tuple[float, str]:
+        """Share of toxic weight among the nearest, each by its squared similarity, and the evidence."""
+        best, near = self.nearest(*vector(self.weight, found), skip=skip)
+        strength = self.stand_for[best] * near**2
+        total = float(strength.sum())
+        vote = float(strength[self.labels[best] == 1].sum()) / total if total else self.share
         return vote, ",".join(f"{self.ids[i]}:{int(self.labels[i])}:{s:.3f}" for i, s in zip(best[:3].tolist(), near[:3].tolist()))
 
-    def score(self, found: Counter, rest: int) -> tuple[float, str]:
-        if not found:
-            return self.empty_score, ""
-        vote, evidence = self.vote(found, rest)
-        return float(1 / (1 + np.exp(-(self.line[0] * vote + self.line[1])))), evidence
+    def score(self, found: dict[int, int]) -> tuple[float, str]:
+        if not len(self.labels):
+            return 0.0, ""
+        vote, evidence = self.vote(found)
+        return (float(1 / (1 + np.exp(-(self.line[0] * vote + self.line[1])))), evidence) if evidence else (self.share, "")
+
+
+def vector(weight: np.ndarray, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and their shares of a unit vector: (1 + log of the count) times the term's weight."""
+    terms = np.fromiter(found.keys(), np.int64, len(found))
+    w = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * weight[terms]
+    norm = np.sqrt((w * w).sum())
+    return terms, w / norm if norm else w
 
 
 def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -165,8 +183,22 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
     return float(beta[0]), float(beta[1])
 
 
+def factors(found: list[dict[int, int]], labels: np.ndarray, terms: int) -> np.ndarray:
+    """How much the classes' shares of examples with a term differ, in standard errors, as a factor."""
+    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
+    counts = np.zeros((2, terms))
+    for f, label in zip(found, labels.tolist()):
+        counts[label, list(f)] += 1
+    both = counts.sum(0) / (n1 + n0)
+    z = np.abs(counts[1] / n1 - counts[0] / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-6) * (1 / n1 + 1 / n0))
+    return LEAST_FACTOR + np.clip((z - FROM_Z) / (TO_Z - FROM_Z), 0, 1)
+
+
 def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", held_out_divisor: int = 5) -> Index:
-    """An index of a bounded sample of labelled rows whose crc32(id) mod held_out_divisor isn't 0. Document frequencies are of all docs."""
+    """An index of a bounded sample of labelled rows whose crc32(id) mod held_out_divisor isn't 0. Document frequencies are of all docs.
+
+    Of an id that occurs more than once the smallest text is the example; a row that is labelled both ways is toxic.
+    """
     marked = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & (remainder(id_column, held_out_divisor) != 0)).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
     every = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     sample: dict = {}
@@ -175,82 +207,72 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
     spark = docs.sparkSession
     chosen = spark.createDataFrame(list(sample.items()), f"id {docs.schema[id_column].dataType.simpleString()}, label int")
     light = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    examples = light.join(F.broadcast(chosen), "id")  # at most TOXIC_EXAMPLES + CLEAN_EXAMPLES ids
+    # at most TOXIC_EXAMPLES + CLEAN_EXAMPLES ids, of at most LONGEST_EXAMPLE bytes each
+    examples = light.filter(F.octet_length("text") <= LONGEST_EXAMPLE).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found = WordTerms(), (Counter(), Counter())
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
-                found[label].update(counted(text, words)[0].keys())
-            if sum(map(len, found)) > 150_000:
-                yield from emit(found)
-                found = (Counter(), Counter())
-        yield from emit(found)
-
-    def emit(found: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
-        keys = list(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([found[k][t] for t in keys], pa.int64()) for k in (1, 0))], ["term", "toxic", "clean"])
-
-    n1, n0 = max(1, sum(sample.values())), max(1, len(sample) - sum(sample.values()))
-    p1, p0 = F.col("toxic") / n1, F.col("clean") / n0
-    both = (F.col("toxic") + F.col("clean")) / (n1 + n0)
-    z = (p1 - p0) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-6)) * (1 / n1 + 1 / n0))
-    terms = map_batches(examples.select("id", "text", "label"), frequencies, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    terms = terms.filter(F.col("toxic") + F.col("clean") >= LEAST_EXAMPLES).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS)
-    vocabulary = {r["term"]: k for k, r in enumerate(terms.select("term").collect())}
+            found = []
+            for text in texts(batch.column(2)):
+                own: Counter = Counter()
+                for word, n in Counter(text.split()).items():
+                    if t := bare(word):
+                        own[t] += n
+                found.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(f.keys()) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["id", "label", "terms", "counts"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = map_batches(examples.select("id", "label", "text"), counted, f"id {kind}, label int, terms array<string>, counts array<long>").collect()
+    vocabulary = sorted({t for r in rows for t in r["terms"]})
+    number = {t: k for k, t in enumerate(vocabulary)}
+    known = spark.sparkContext.broadcast(number)  # words of at most so many examples of bounded length
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found, n = WordTerms(vocabulary), Counter(), 0
+        words, n, found = Words(known.value), 0, np.zeros(len(known.value), np.int64)
         for batch in batches:
             for text in texts(batch.column(0)):
                 n += 1
-                found.update({t for w in set(text.split()) for t in words[w]})
-        found[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.int64()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
-
-    df = {r["term"]: r["n"] for r in map_batches(light.select("text"), document_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = df.get(-1, 0)
-    idf = np.array([np.log((1 + total) / (1 + df.get(k, 0))) for k in range(len(vocabulary))])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTerms(vocabulary)
-        for batch in batches:
-            found = [counted(t, words) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f.keys()) for f, _ in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f, _ in found], pa.list_(pa.int64())), pa.array([r for _, r in found], pa.int64())], ["id", "label", "terms", "counts", "rest"])
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = map_batches(examples.select("id", "text", "label"), vectors, f"id {kind}, label int, terms array<long>, counts array<long>, rest long").collect()
-    weigh = {1: every.get(1, 0) / n1, 0: every.get(0, 0) / n0}
-    with_terms = [r for r in rows if r["terms"]]
-    # examples with the same leading term stand together, which makes block bounds tight
-    with_terms.sort(key=lambda r: (max(zip(r["counts"], (-t for t in r["terms"]))), r["id"]))
-    counts = [Counter(dict(zip(r["terms"], r["counts"]))) for r in with_terms]
-    index = Index(vocabulary, idf, np.array([r["label"] for r in with_terms], np.int64), np.array([weigh[r["label"]] for r in with_terms]), np.array([r["id"] for r in with_terms], object), np.zeros(len(with_terms)))
-    built = [index.vector(c, r["rest"]) for c, r in zip(counts, with_terms)]
-    index.rest = np.array([v[2] for v in built])
-    index.build(built)
-    plain = [r["label"] for r in rows if not r["terms"]]
-    index.plain = (sum(plain) * weigh[1], sum(plain) * weigh[1] + (len(plain) - sum(plain)) * weigh[0])
-    index.empty_score = (index.plain[0] + 0.5 * (sum(sample.values()) > 0)) / (index.plain[1] + 1)
-    if len(with_terms) > 1:
-        votes = np.array([index.vote(c, r["rest"], skip=k)[0] for k, (c, r) in enumerate(zip(counts, with_terms))])
-        index.line = calibrate(votes, index.labels.astype(float), index.weights)
+                found[list({k for w in set(text.split()) if (k := words[w]) >= 0})] += 1
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(found[some], n), pa.int64())], ["term", "n"])
+
+    df = map_batches(light.select("text"), document_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    known.unpersist()
+    seen = dict(zip(df["term"].to_pylist(), df["n"].to_pylist()))
+    total = seen.get(-1, 0)
+    idf = np.array([np.log((2 + total) / (1 + seen.get(k, 0))) for k in range(len(vocabulary))])
+    found = [{number[t]: n for t, n in zip(r["terms"], r["counts"])} for r in rows]
+    weight = idf * factors(found, np.array([r["label"] for r in rows], np.int64), len(vocabulary))
+
+    def place(k: int) -> tuple:
+        """Examples with the same leading words stand together, which makes block bounds tight."""
+        f = found[k]
+        heavy = max(f, key=lambda t: (weight[t] * (1 + np.log(f[t])), t), default=-1)
+        return (heavy if heavy >= 0 and weight[heavy] > 2 * LEAST_FACTOR * idf[heavy] else -1, max(f, key=lambda t: (f[t], t), default=-1), rows[k]["id"])
+
+    order = sorted(range(len(rows)), key=place)
+    weigh = {label: every.get(label, 0) / max(1, sum(r["label"] == label for r in rows)) for label in (0, 1)}
+    in_order = [rows[k] for k in order]
+    index = Index.of(vocabulary, weight, np.array([r["label"] for r in in_order], np.int64), np.array([weigh[r["label"]] for r in in_order], float), [r["id"] for r in in_order], [found[k] for k in order])
+    if len(rows) > 1:
+        votes = np.array([index.vote(found[k], skip=at)[0] for at, k in enumerate(order)])
+        index.line = calibrate(votes, index.labels.astype(float), index.stand_for)
     return index
 
 
 def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text", held_out_divisor: int = 5) -> DataFrame:
     """id, held_out, score, predicted and evidence (the three nearest examples as id:label:cosine) of every whole text.
 
-    Null, empty and term-less texts get the share of toxic rows among term-less examples; without any labelled row every score is 0.
-    Ties in similarity go to the earlier example. Null and repeated ids are kept. An empty table gives an empty table.
+    Null and empty texts, and texts without a word that an example has, get the share of toxic rows among the labelled ones; without any
+    labelled row every score is 0. Ties in similarity go to the earlier example. Null and repeated ids are kept. An empty table gives an empty table.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), (remainder(id_column, held_out_divisor) == 0).alias("held_out"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTerms(index.vocabulary)
+        words = Words(index.laid_out().number)
         for batch in batches:
-            found = [index.score(*counted(t, words)) for t in texts(batch.column(2))]
+            found = [index.score(words.count(t)) for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.string())], [id_column, "held_out", "score", "predicted", "evidence"])
 
     return map_batches(rows, run, f"{id_column} {kind}, held_out boolean, score double, predicted int, evidence string")
@@ -261,8 +283,8 @@ def drop_toxic(docs: DataFrame, index: Index, text_column: str = "text") -> Data
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTerms(index.vocabulary)
+        words = Words(index.laid_out().number)
         for batch in batches:
-            yield batch.filter(pa.array([index.score(*counted(t, words))[0] < 0.5 for t in texts(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([index.score(words.count(t))[0] < 0.5 for t in texts(batch.column(at))], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
