@@ -36,17 +36,23 @@ def test_block_max_finds_the_same_neighbours_as_brute_force():
     n, terms = 500, 60
     weight = np.where(np.arange(terms) < 50, 0.3, 3.0) * (rng.random(terms) + 0.5)
     # all share many light terms, and runs of them a heavy one
-    docs = [{int(t): int(rng.integers(1, 5)) for t in rng.choice(50, rng.integers(1, 8), False)} | ({50 + k * 10 // n: 1} if k % 5 else {}) for k in range(n)]
+    docs = [np.append(rng.choice(50, rng.integers(1, 8), False), [50 + k * 10 // n] if k % 5 else []).astype(np.int64) for k in range(n)]
+    docs = [(np.sort(d), rng.integers(1, 5, len(d))) for d in docs]
     index = toxicity.Index.of([str(k) for k in range(terms)], weight, rng.integers(0, 2, n), np.ones(n), list(range(n)), docs)
     dense = np.zeros((n, terms))
     for k, d in enumerate(docs):
-        t, w = toxicity.vector(weight, d)
+        t, w = toxicity.vector(weight, *d)
         dense[k, t] = w
     read, whole = [], 0
-    index.read = lambda *a, plain=index.read: read.append(plain(*a))
+
+    def reading(terms, q, blocks, plain=index.read):
+        read.append(int((np.isin(index.terms, terms) & (True if blocks is None else np.isin(index.docs // toxicity.BLOCK, blocks))).sum()))
+        return plain(terms, q, blocks)
+
+    index.read = reading
     for k in range(0, n, 7):
         exact = dense @ dense[k]
-        t, w = toxicity.vector(weight, docs[k])
+        t, w = toxicity.vector(weight, *docs[k])
         best, near = index.nearest(t, w, k=10)
         assert np.allclose(near, np.sort(exact)[::-1][: len(near)]) and np.allclose(exact[best], near) and len(near) == min(10, (exact > 0).sum())
         without, _ = index.nearest(t, w, k=10, skip=int(best[0]))

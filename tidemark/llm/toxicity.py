@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, remainder, texts
 
 #: Bounds of the sample of labelled rows: examples of each class, the first by hash of their id, among those of at most so many bytes of text.
-TOXIC_EXAMPLES, CLEAN_EXAMPLES, LONGEST_EXAMPLE = 1500, 2500, 1 << 17
+TOXIC_EXAMPLES, CLEAN_EXAMPLES, LONGEST_EXAMPLE = 1000, 1500, 1 << 17
 #: A word's factor grows from the least to 1 more where the classes' document frequencies differ by 4 to 8 standard errors, in either direction.
 LEAST_FACTOR, FROM_Z, TO_Z = 0.2, 4.0, 8.0
 NEIGHBOURS, BLOCK = 15, 64
@@ -35,11 +35,12 @@ def bare(word: str) -> str:
         first = next((k for k, c in enumerate(word) if c.isalnum()), len(word))
         last = next((k for k in range(len(word), first, -1) if word[k - 1].isalnum()), first)
         word = word[first:last]
-    return unicodedata.normalize("NFC", word.lower())
+    word = word.lower()
+    return word if word.isascii() else unicodedata.normalize("NFC", word)
 
 
 class Words(dict):
-    """The number of a word's term, -1 for none; shorter words are kept as they stand in texts while there are fewer than 150,000."""
+    """The number of a word's term, -1 for none; shorter words are kept as they stand in texts while there are fewer than 400,000."""
 
     def __init__(self, known: dict[str, int]):
         self.known = known
@@ -47,18 +48,17 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         out = self.known.get(bare(word), -1)
         if len(word) <= 64:
-            if len(self) > 150_000:
+            if len(self) > 400_000:
                 self.clear()
             self[word] = out
         return out
 
-    def count(self, text: str) -> dict[int, int]:
-        """How often a text has each term."""
-        found: dict[int, int] = {}
-        for word, n in Counter(text.split()).items():
-            if (k := self[word]) >= 0:
-                found[k] = found.get(k, 0) + n
-        return found
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms and how often it has each."""
+        words = text.split()
+        found, counts = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
+        first = int(len(found) > 0 and found[0] < 0)
+        return found[first:], counts[first:]
 
 
 @dataclass
@@ -80,8 +80,8 @@ class Index:
     number: dict[str, int] = field(default=None)
 
     @classmethod
-    def of(cls, vocabulary: list[str], weight: np.ndarray, labels: np.ndarray, stand_for: np.ndarray, ids: list, found: list[dict[int, int]]) -> Index:
-        vectors = [vector(weight, f) for f in found]
+    def of(cls, vocabulary: list[str], weight: np.ndarray, labels: np.ndarray, stand_for: np.ndarray, ids: list, found: list[tuple[np.ndarray, np.ndarray]]) -> Index:
+        vectors = [vector(weight, *f) for f in found]
         terms = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
         values = np.concatenate([v for _, v in vectors]) if vectors else np.empty(0)
         docs = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
@@ -111,62 +111,70 @@ class Index:
     def blocks(self) -> int:
         return max(1, -(-len(self.labels) // BLOCK))
 
-    def read(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray, scores: np.ndarray) -> int:
-        """Adds the exact cosines with the examples of some blocks, from these blocks' slices; returns the number of postings read."""
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
-        begin = self.offsets[cells]
-        size = self.offsets[cells + 1] - begin
+    def read(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
+        """Exact cosines with the examples of some blocks, from these blocks' slices of the posting lists (None: whole lists); 0 elsewhere."""
+        if blocks is None:
+            begin, size, weight = self.offsets[terms * self.blocks], self.offsets[(terms + 1) * self.blocks], q
+        else:
+            cells = (terms[:, None] * self.blocks + blocks).ravel()
+            begin, size, weight = self.offsets[cells], self.offsets[cells + 1], np.repeat(q, len(blocks))
+        size = size - begin
         some = np.flatnonzero(size)
+        if not len(some):
+            return np.zeros(len(self.labels))
         begin, size = begin[some], size[some]
         ends = np.cumsum(size)
-        if not len(ends):
-            return 0
         at = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
-        scores += np.bincount(self.docs[at], self.values[at] * np.repeat(np.repeat(q, len(blocks))[some], size), len(scores))
-        return int(ends[-1])
+        return np.bincount(self.docs[at], self.values[at] * np.repeat(weight[some], size), len(self.labels))
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k best examples that share a word, by descending exact cosine and then place; skip is left out."""
-        scores = np.zeros(len(self.labels))
-        if not len(terms) or not len(scores):
+        """The k best examples that share a word, by descending exact cosine and then place; skip is left out.
+
+        The blocks with the highest bounds give a k-th best; of the others those that can reach it are read.
+        """
+        if not len(terms) or not len(self.labels):
             return np.empty(0, np.int64), np.empty(0)
+        n = len(self.labels)
         bound = (q.astype(np.float32) @ self.block_max[terms]) * np.float32(1 + 1e-5) + np.float32(1e-9)
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 1e-9]
-        step, kth = 1 + k // BLOCK, 0.0
-        while len(todo):
-            # the bounds fall along the order, so the first that can't reach the k-th best ends it
-            todo = todo[bound[todo] >= kth]
-            self.read(terms, q, todo[:step], scores)
-            todo, step = todo[step:], 2 * step
-            if skip >= 0:
-                scores[skip] = 0.0
-            if len(scores) > k:
-                kth = np.partition(scores, -k)[-k]
+        order = np.argsort(-bound, kind="stable")
+        first = order[: 2 + k // BLOCK]
+        scores = self.read(terms, q, first)
+        if skip >= 0:
+            scores[skip] = 0.0
+        kth = np.partition(scores, -k)[-k] if n > k else 0.0
+        more = order[len(first) :]
+        more = more[bound[more] >= max(kth, 2e-9)]
+        if 3 * len(more) > self.blocks:
+            scores = self.read(terms, q, None)
+        elif len(more):
+            scores += self.read(terms, q, more)
+        if skip >= 0:
+            scores[skip] = 0.0
+        if len(more) and n > k:
+            kth = np.partition(scores, -k)[-k]
         some = np.flatnonzero(scores >= max(kth, 1e-300))
         best = some[np.lexsort((some, -scores[some]))][:k]
         return best, scores[best]
 
-    def vote(self, found: dict[int, int], skip: int = -1) -> tuple[float, str]:
+    def vote(self, found: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, str]:
         """Share of toxic weight among the nearest, each by its squared similarity, and the evidence."""
-        best, near = self.nearest(*vector(self.weight, found), skip=skip)
+        best, near = self.nearest(*vector(self.weight, *found), skip=skip)
         strength = self.stand_for[best] * near**2
         total = float(strength.sum())
         vote = float(strength[self.labels[best] == 1].sum()) / total if total else self.share
         return vote, ",".join(f"{self.ids[i]}:{int(self.labels[i])}:{s:.3f}" for i, s in zip(best[:3].tolist(), near[:3].tolist()))
 
-    def score(self, found: dict[int, int]) -> tuple[float, str]:
+    def score(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[float, str]:
         if not len(self.labels):
             return 0.0, ""
         vote, evidence = self.vote(found)
         return (float(1 / (1 + np.exp(-(self.line[0] * vote + self.line[1])))), evidence) if evidence else (self.share, "")
 
 
-def vector(weight: np.ndarray, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def vector(weight: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and their shares of a unit vector: (1 + log of the count) times the term's weight."""
-    terms = np.fromiter(found.keys(), np.int64, len(found))
-    w = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * weight[terms]
-    norm = np.sqrt((w * w).sum())
+    w = (1 + np.log(counts)) * weight[terms]
+    norm = np.sqrt(w @ w)
     return terms, w / norm if norm else w
 
 
@@ -183,12 +191,12 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
     return float(beta[0]), float(beta[1])
 
 
-def factors(found: list[dict[int, int]], labels: np.ndarray, terms: int) -> np.ndarray:
+def factors(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, terms: int) -> np.ndarray:
     """How much the classes' shares of examples with a term differ, in standard errors, as a factor."""
     n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     counts = np.zeros((2, terms))
-    for f, label in zip(found, labels.tolist()):
-        counts[label, list(f)] += 1
+    for (has, _), label in zip(found, labels.tolist()):
+        counts[label, has] += 1
     both = counts.sum(0) / (n1 + n0)
     z = np.abs(counts[1] / n1 - counts[0] / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-6) * (1 / n1 + 1 / n0))
     return LEAST_FACTOR + np.clip((z - FROM_Z) / (TO_Z - FROM_Z), 0, 1)
@@ -232,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
         for batch in batches:
             for text in texts(batch.column(0)):
                 n += 1
-                found[list({k for w in set(text.split()) if (k := words[w]) >= 0})] += 1
+                found[words.count(text)[0]] += 1
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(found[some], n), pa.int64())], ["term", "n"])
 
@@ -241,14 +249,16 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
     seen = dict(zip(df["term"].to_pylist(), df["n"].to_pylist()))
     total = seen.get(-1, 0)
     idf = np.array([np.log((2 + total) / (1 + seen.get(k, 0))) for k in range(len(vocabulary))])
-    found = [{number[t]: n for t, n in zip(r["terms"], r["counts"])} for r in rows]
+    found = [(np.array([number[t] for t in r["terms"]], np.int64), np.array(r["counts"], np.int64)) for r in rows]
     weight = idf * factors(found, np.array([r["label"] for r in rows], np.int64), len(vocabulary))
 
     def place(k: int) -> tuple:
         """Examples with the same leading words stand together, which makes block bounds tight."""
-        f = found[k]
-        heavy = max(f, key=lambda t: (weight[t] * (1 + np.log(f[t])), t), default=-1)
-        return (heavy if heavy >= 0 and weight[heavy] > 2 * LEAST_FACTOR * idf[heavy] else -1, max(f, key=lambda t: (f[t], t), default=-1), rows[k]["id"])
+        terms, counts = found[k]
+        if not len(terms):
+            return -1, -1, rows[k]["id"]
+        heavy = int(terms[np.argmax(vector(weight, terms, counts)[1])])
+        return heavy if weight[heavy] > 2 * LEAST_FACTOR * idf[heavy] else -1, int(terms[np.argmax(counts)]), rows[k]["id"]
 
     order = sorted(range(len(rows)), key=place)
     weigh = {label: every.get(label, 0) / max(1, sum(r["label"] == label for r in rows)) for label in (0, 1)}
