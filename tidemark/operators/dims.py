@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .relational import numbered, small
+
 #: Stages with order, service level in days and kind: fixed values.
 STAGES = [(0, "NOT_APPLICABLE", 0, None, False), (1, "RECEIVED", 1, 1, False), (2, "TRIAGED", 2, 3, False), (3, "QUALIFIED", 3, 10, False), (4, "UNDERWRITING", 4, 14, False), (5, "OFFER", 5, 21, False), (6, "DUE_DILIGENCE", 6, 30, False), (7, "LEGAL", 7, 30, False), (8, "CLOSED_WON", 8, None, True), (9, "LOST", 9, None, True), (10, "STALLED", 10, None, True)]
 #: Fixed holidays as month-day; the year-end shutdown runs from the first to the second day: fixed values.
@@ -34,8 +36,8 @@ def junk(parts: Sequence[tuple[DataFrame, str]], sk: str) -> DataFrame:
     """All combinations of short lists of values, numbered in their own order, with an unknown member -1."""
     out = None
     for values, column in parts:
-        v = F.broadcast(values.select(column).distinct().limit(1000))
-        out = v if out is None else out.join(v)
+        v = small(values.select(column).distinct())
+        out = v if out is None else out.crossJoin(v)
     columns = [c for _, c in parts]
     numbered = out.withColumn(sk, F.row_number().over(Window.partitionBy().orderBy(*columns)))  # a product of short lists
     unknown = out.limit(1).select(*[F.lit("Unknown").alias(c) for c in columns], F.lit(-1).alias(sk))
@@ -50,10 +52,11 @@ def with_unknown(dim: DataFrame, sk: str, values: dict) -> DataFrame:
 
 
 def type1_upsert(dim: DataFrame, latest: DataFrame, nk: str, sk: str, attributes: Sequence[str]) -> DataFrame:
-    """Unseen keys are numbered on from the largest, changed attributes overwritten, the rest left as it is."""
-    top = dim.agg(F.coalesce(F.max(sk), F.lit(0)).alias("__top"))
-    new = latest.join(dim.select(nk), nk, "left_anti").join(F.broadcast(top)).withColumn(sk, (F.col("__top") + F.row_number().over(Window.partitionBy().orderBy(nk))).cast("long"))
-    old = dim.alias("t").join(latest.alias("s"), nk, "left").select(F.col(nk), F.col(f"t.{sk}").alias(sk), *[F.when(F.col(f"s.{attributes[0]}").isNotNull() | F.col(f"s.{attributes[-1]}").isNotNull(), F.col(f"s.{a}")).otherwise(F.col(f"t.{a}")).alias(a) for a in attributes])
+    """Unseen keys are numbered on from the largest (by cells, see `numbered`), attributes of matched keys overwritten, nulls too, the rest left as it is."""
+    top = dim.agg(F.coalesce(F.max(sk), F.lit(0)).alias("__top"))  # one row
+    new = numbered(latest.join(dim.select(nk), nk, "left_anti"), nk, [nk], sk).join(F.broadcast(top)).withColumn(sk, (F.col("__top") + F.col(sk)).cast("long"))
+    matched = F.col("s.__matched").isNotNull()
+    old = dim.alias("t").join(latest.withColumn("__matched", F.lit(True)).alias("s"), nk, "left").select(F.col(nk), F.col(f"t.{sk}").alias(sk), *[F.when(matched, F.col(f"s.{a}")).otherwise(F.col(f"t.{a}")).alias(a) for a in attributes])
     return old.unionByName(new.select(nk, sk, *attributes))
 
 
@@ -67,5 +70,5 @@ def assign_parents(members: DataFrame, nk: str, tier: str, place: str, above: di
         target = F.when(F.col(tier) == low, high).otherwise(target)
     out = members.withColumn("__up", target)
     out = out.join(local, (F.col("__up") == F.col("__tier")) & (F.col(place) == F.col("__place")), "left").drop("__tier", "__place")
-    out = out.join(F.broadcast(anywhere), F.col("__up") == F.col("__tier"), "left")
+    out = out.join(small(anywhere), F.col("__up") == F.col("__tier"), "left")
     return out.withColumn("parent", F.coalesce("__local", "__any")).drop("__up", "__tier", "__local", "__any")

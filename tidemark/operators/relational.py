@@ -18,12 +18,13 @@ def small(dim: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
 
 
-def point_in_time(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, at: str, sk: str, valid_from: str = "valid_from", valid_to: str = "valid_to", name: str | None = None, known: Column | None = None) -> DataFrame:
+def point_in_time(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, at: str, sk: str, valid_from: str = "valid_from", valid_to: str = "valid_to", name: str | None = None, known: Column | None = None, take: dict[str, str] | None = None) -> DataFrame:
     """Adds the surrogate key of the version in force at a time, or -1. The natural key is an equality, so the range is only a residue of a hash or merge join.
 
-    known: facts for which it is false aren't looked up.
+    known: facts for which it is false aren't looked up. take: attributes of the version that come along (null without one), by the name that
+    they get, so that the dimension needn't be joined again by its key.
     """
-    d = dim.select(F.col(dim_key).alias("__k"), F.col(sk).alias("__sk"), F.col(valid_from).alias("__f"), F.col(valid_to).alias("__t"))
+    d = dim.select(F.col(dim_key).alias("__k"), F.col(sk).alias("__sk"), F.col(valid_from).alias("__f"), F.col(valid_to).alias("__t"), *[F.col(c).alias(n) for n, c in (take or {}).items()])
     on = (F.col(fact_key) == F.col("__k")) & (F.col(at) >= F.col("__f")) & (F.col(at) < F.col("__t"))
     if known is not None:
         on = on & known
@@ -58,8 +59,8 @@ def current_of_version(fact: DataFrame, dim: DataFrame, sk: str, nk: str, take:
 
 
 def dense_grid(members: DataFrame, periods: DataFrame, activity: DataFrame, keys: Sequence[str], zeros: Sequence[str]) -> DataFrame:
-    """Every member in every period, with zeros where nothing happened. periods: a short relation (months), so the product has members x months rows, which is the result's size."""
-    grid = members.join(F.broadcast(periods.limit(10_000)))
+    """Every member in every period, with zeros where nothing happened. The product has members x periods rows, which is the result's size; periods (months) go to all tasks if they are as few as that."""
+    grid = members.crossJoin(small(periods))
     out = grid.join(activity, list(keys), "left")
     return out.fillna(0, subset=list(zeros))
 
@@ -111,9 +112,39 @@ def merge_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], update
     return both.select(*[F.coalesce(F.col(f"t.{c}"), F.col(f"s.{c}")).alias(c) if c in keys else value(c) for c in columns])
 
 
-def only_new(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Source rows whose key isn't in the target, one for each key: what an idempotent append writes."""
-    return source.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
+def once(source: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """One row for each key, the first in an order; without one, by all other columns, so that every run takes the same row."""
+    others = [F.col(c).asc_nulls_last() for c in source.columns if c not in keys]
+    return pick_first(source, keys, list(order) or others) if order or others else source.distinct()
+
+
+def only_new(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """Source rows whose key isn't in the target, one for each key: what an idempotent append writes. order: which one, such as by file and line."""
+    return once(source, keys, order).join(target.select(*keys), list(keys), "left_anti")
+
+
+def numbered(df: DataFrame, nk: str, order: Sequence[str], sk: str) -> DataFrame:
+    """Numbers from 1 without gaps: by cells of the natural key's md5, within a cell by order. No task sees all rows, and only counts of cells are added up in one."""
+    cells = df.withColumn("__cell", F.substring(F.md5(F.col(nk).cast("string").cast("binary")), 1, 3))
+    before = Window.partitionBy().orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 cells
+    sizes = cells.groupBy("__cell").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("__cell").orderBy(*order))
+    return cells.join(F.broadcast(sizes), "__cell").withColumn(sk, (place + F.col("__start")).cast("long")).drop("__cell", "__n", "__start")
+
+
+def ranks(df: DataFrame, value: str, tie: Sequence[str], tiles: int) -> DataFrame:
+    """Adds rank, dense_rank, tied_peers and tile of all rows by a whole number, greatest first, nulls last. Windows without a key see one row for each value; rows
+    are only ordered among those of equal value."""
+    sizes = df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__m"))
+    down = Window.partitionBy().orderBy(F.desc_nulls_last("__v"))
+    before = F.coalesce(F.sum("__m").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__v", (before + 1).alias("rank"), F.row_number().over(down).alias("dense_rank"), (F.col("__m") - 1).alias("tied_peers"), F.sum("__m").over(Window.partitionBy()).alias("__all"))
+    out = df.join(small(starts), F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
+    at = F.col("rank") + F.row_number().over(Window.partitionBy(value).orderBy(*tie)) - 1
+    size, more = F.floor(F.col("__all") / tiles), F.col("__all") % tiles
+    edge = more * (size + 1)  # the first tiles have one row more
+    tile = F.when(F.col("__at") <= edge, F.ceil(F.col("__at") / (size + 1))).otherwise(more + F.ceil((F.col("__at") - edge) / size))
+    return out.withColumn("__at", at).withColumn("tile", tile.cast("int")).drop("__at", "__all")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:

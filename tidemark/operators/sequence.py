@@ -35,14 +35,20 @@ def sequence(events: DataFrame, deal: str, at: str, line: str, order: str, termi
 def settle(events: DataFrame, deal: str, at: str, line: str, order: str, terminal: str, stage: str, keep) -> tuple[DataFrame, DataFrame, int]:
     """(accepted, removed with their pass, passes): impossible events go and their deals are sequenced again, since a removal can make
     another transition impossible. Only deals that lost an event are looked at again. keep(df) cuts the lineage of a pass.
+
+    Whether a deal lost one is a flag over its own window, so a pass is one shuffle by deal, and none if it is there already.
     """
     columns = events.columns
-    todo = keep(sequence(events, deal, at, line, order, terminal, stage))
+
+    def passed(df: DataFrame) -> DataFrame:
+        flagged = sequence(df, deal, at, line, order, terminal, stage)
+        return keep(flagged.withColumn("__hit", F.max("is_impossible").over(Window.partitionBy(deal))))
+
+    todo = passed(events)
     settled, removed = [], []
     for number in range(1, MOST_PASSES + 1):
-        bad = todo.filter("is_impossible")
-        hit = bad.select(F.col(deal).alias("__d")).distinct()
-        settled.append(todo.join(hit, F.col(deal) == F.col("__d"), "left_anti"))
+        bad = todo.filter("is_impossible").drop("__hit")
+        settled.append(todo.filter("not __hit").drop("__hit"))
         if bad.limit(1).count() == 0:
             accepted = settled[0]
             for s in settled[1:]:
@@ -52,8 +58,7 @@ def settle(events: DataFrame, deal: str, at: str, line: str, order: str, termina
                 gone = gone.unionByName(r)
             return accepted.drop("is_impossible"), gone, number
         removed.append(bad.withColumn("pass", F.lit(number)))
-        again = todo.join(hit, F.col(deal) == F.col("__d"), "left_semi").filter("not is_impossible").select(*columns)
-        todo = keep(sequence(again, deal, at, line, order, terminal, stage))
+        todo = passed(todo.filter("__hit and not is_impossible").select(*columns))
     raise RuntimeError(f"events still contradict each other after {MOST_PASSES} passes")
 
 

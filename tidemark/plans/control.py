@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import BEGINNING
-from tidemark.operators.relational import merge_rows, only_new
+from tidemark.operators.relational import merge_rows, once, only_new
 from tidemark.sources.tables import Store
 
 RUNS = "run_id long, mode string, status string, rows_in long, rows_out long, note string"
@@ -70,7 +70,7 @@ def incremental_load(store: Store, landing: DataFrame, stream: str, target: tupl
     layer, name = target
     batch = run.since(landing, stream)
     reached = batch.agg(F.max("ingested_at").alias("t"), F.count("*").alias("n")).first()
-    fresh = batch.dropDuplicates(keys) if not store.exists(layer, name) else only_new(store.read(layer, name), batch, keys)
+    fresh = only_new(store.read(layer, name), batch, keys) if store.exists(layer, name) else once(batch, keys)
     before = store.read(layer, name).count() if store.exists(layer, name) else 0
     store.write(fresh, layer, name, mode="append")
     written = store.read(layer, name).count() - before

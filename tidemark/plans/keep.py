@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a session that names none gets one of its own, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or (Path.cwd() / "spark-warehouse" / "checkpoints").as_uri()).rstrip("/")
+    """The folder that the session names for checkpoints. A local session that names none gets one of its own, as in tests; on a cluster no
+    folder of this machine would do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+    return (base or (Path.cwd() / "spark-warehouse" / "checkpoints").as_uri()).rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lists of values, five by five."""
     p = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority")).distinct()
-    return load(spark, sf_dir, "region").select("r_name").join(F.broadcast(p.limit(1000)))
+    return load(spark, sf_dir, "region").select("r_name").crossJoin(relational.small(p))
 
 
 @query(
@@ -167,7 +167,7 @@ def dim_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 old AS (SELECT name, CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS agency_sk, nation, balance FROM a),
 b AS (SELECT s_name AS name, s_nationkey AS nation, s_acctbal + 1 AS balance FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT old.name, agency_sk, coalesce(b.nation, old.nation) AS nation, round(coalesce(b.balance, old.balance), 2) AS balance FROM old LEFT JOIN b USING (name)
-UNION ALL SELECT name, (SELECT max(agency_sk) FROM old) + row_number() OVER (ORDER BY name), nation, round(balance, 2) FROM b WHERE name NOT IN (SELECT name FROM old)"""
+UNION ALL SELECT name, (SELECT max(agency_sk) FROM old) + row_number() OVER (ORDER BY substr(md5(name), 1, 3), name), nation, round(balance, 2) FROM b WHERE name NOT IN (SELECT name FROM old)"""
 )
 def type1_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window

@@ -54,11 +54,16 @@ def with_ingest(df: DataFrame, batch: str, at: str, file: str, line: str) -> Dat
     return df.withColumns({"source_batch_id": F.lit(batch), "ingested_at": F.lit(at).cast("timestamp_ntz"), "source_file": F.lit(file), "raw_line_no": F.col(line).cast("long"), "payload_hash": F.md5(body.cast("binary"))})
 
 
+#: Pointers that stay for readers who have listed them already.
+KEPT_POINTERS = 10
+
+
 class Store:
-    """Tables of one warehouse under a root that every executor sees: <root>/<layer>/<table>/<version>, and a pointer to the version in force.
+    """Tables of one warehouse under a root that every executor sees: <root>/<layer>/<table>/<version>, and numbered pointers to versions.
 
-    A table is replaced by writing a new version and then its pointer, so readers never see half of one, and a table can be computed from
-    its own last version.
+    A table is replaced by writing a new version and then the next pointer; the greatest one is in force. A pointer appears whole, by a rename
+    to a name that nothing has yet: readers see the old table or the new one at any moment, a crash leaves the old one, and of two writers that
+    started from the same table one fails. A table can be computed from its own last version.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -67,27 +72,39 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, layer: str, name: str):
-        return self._path(f"{self.root}/{layer}/{name}/_current.json")
+    def _pointers(self, layer: str, name: str) -> list[int]:
+        folder = self._path(f"{self.root}/{layer}/{name}")
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(int(n[9:21]) for n in names if n.startswith("_pointer-") and n.endswith(".json"))
+
+    def _pointer(self, layer: str, name: str, number: int):
+        return self._path(f"{self.root}/{layer}/{name}/_pointer-{number:012d}.json")
 
     def versions(self, layer: str, name: str) -> list[str]:
         """Directories of the version in force, in the order they were appended."""
-        pointer = self._pointer(layer, name)
-        if not self._fs.exists(pointer):
+        numbers = self._pointers(layer, name)
+        if not numbers:
             return []
-        stream = self._fs.open(pointer)
+        stream = self._fs.open(self._pointer(layer, name, numbers[-1]))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _point(self, layer: str, name: str, parts: list[str]) -> None:
+    def _point(self, layer: str, name: str, parts: list[str], after: int) -> None:
         fresh = self._path(f"{self.root}/{layer}/{name}/_next-{uuid.uuid4().hex}.json")
         stream = self._fs.create(fresh, True)
         stream.write(json.dumps(parts).encode())
         stream.close()
-        self._fs.delete(self._pointer(layer, name), False)
-        self._fs.rename(fresh, self._pointer(layer, name))
+        target = self._pointer(layer, name, after + 1)
+        # some file systems rename onto an existing file, so look first; those that don't say no by themselves
+        if self._fs.exists(target) or not self._fs.rename(fresh, target):
+            self._fs.delete(fresh, False)
+            raise ContractError(f"{layer}.{name} was replaced meanwhile")
+        for old in self._pointers(layer, name)[:-KEPT_POINTERS]:
+            self._fs.delete(self._pointer(layer, name, old), False)
 
     def exists(self, layer: str, name: str) -> bool:
         return bool(self.versions(layer, name))
@@ -100,6 +117,7 @@ class Store:
 
     def write(self, df: DataFrame, layer: str, name: str, mode: str = "replace", partition_by: Sequence[str] = ()) -> DataFrame:
         """mode: replace, append, or new, which refuses a table that has rows."""
+        numbers = self._pointers(layer, name)
         before = self.versions(layer, name)
         if mode == "new" and before and self.read(layer, name).limit(1).count():
             raise ContractError(f"{layer}.{name} has rows; say replace or append")
@@ -108,5 +126,5 @@ class Store:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(part)
-        self._point(layer, name, [*before, part] if mode == "append" else [part])
+        self._point(layer, name, [*before, part] if mode == "append" else [part], numbers[-1] if numbers else 0)
         return self.read(layer, name)
