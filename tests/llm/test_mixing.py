@@ -83,3 +83,24 @@ def test_the_mixture_has_the_words_that_the_plan_takes(spark, sf_dir):
     assert all(got[k] == v for k, v in plan.items())
     assert mixing.apply_mix(frame(spark)).columns == frame(spark).columns
     assert mixing.apply_mix(empty(spark)).count() == 0
+
+
+def test_a_cut_text_is_a_beginning_of_the_text(spark):
+    rng = __import__("random").Random(2)
+    text = lambda: "".join(rng.choice(["a", "bc", "é", "漢字"]) + rng.choice([" ", "\n", "\t\n  ", "\u00a0"]) for _ in range(rng.randint(5, 60)))
+    rows = [(k, rng.choice(["", "  \n"]) + text(), f"s{k % 6}", 0) for k in range(60)]
+    rows += [(7, "another text under an id that is taken", "s1", 0), (8, rows[8][1], "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    texts = collections.defaultdict(set)
+    for i, t, s, _ in rows:
+        texts[i, s].add(t)
+    cut = 0
+    for r in mixing.apply_mix(docs).collect():
+        whole = [t for t in texts[r["doc_id"], r["source"]] if t.startswith(r["text"])]
+        assert whole
+        if r["text"] not in whole:
+            cut += 1
+            assert r["n_chars"] == len(r["text"]) and not r["text"][-1].isspace() or r["text"].endswith("\u00a0")
+    assert cut
+    taken = sum(r["taken"] for r in mixing.mix_sources(docs).collect())
+    assert sum(len(r["text"].encode().split()) for r in mixing.apply_mix(docs).collect()) == taken

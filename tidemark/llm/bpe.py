@@ -53,6 +53,7 @@ class PrefixEncoder:
         self.lengths: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
+        self.written = {str(i): b for i, b in self.spelled.items()}
         self.keep, self.known = keep, dict[str, str]()
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -121,21 +122,23 @@ class PrefixEncoder:
             yield word, out[::-1]
 
     def learn(self, words: Iterable[str]) -> None:
-        """Puts the ids of each word, as text, into `known`. Each is decoded again and must give the word's bytes, so
-        that what a sequence of known words decodes to is the text that they were split from."""
+        """Puts the ids of each word, as text, into `known`."""
         new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
             new = set(words)
         by_bytes = {w.encode(): w for w in new}
         for spelled, out in self.encode_words(by_bytes):
-            if self.decode(out) != spelled:
-                raise ValueError(f"{out} doesn't decode to {spelled!r}")
             self.known[by_bytes[spelled]] = ",".join(map(str, out))
 
     def decode(self, out: Iterable[int]) -> bytes:
         return b"".join(map(self.spelled.__getitem__, out))
 
+    def decode_listed(self, listed: str) -> bytes:
+        """The text of decimal ids, in UTF-8; bytes that are none become U+FFFD."""
+        data = b"".join(map(self.written.__getitem__, listed.split(","))) if listed else b""
+        return data.decode("utf-8", "replace").encode()
+
     def pieces(self, text: str) -> list[str]:
         """Words of a text, and special tokens that are spelled out in it, in order."""
         if self.cut is None or not any(s in text for s in self.special):
@@ -186,7 +189,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
                     listed = ",".join([known[w] if w not in special else str(e.special[w]) for w in words] if special else map(known.__getitem__, words))
                     out[0].append(listed.count(",") + 1 if listed else 0)
                     out[1].append(hashlib.sha256(listed.encode()).hexdigest())
-                    out[2].append(hashlib.sha256("".join(words).encode()).hexdigest())
+                    out[2].append(hashlib.sha256(e.decode_listed(listed)).hexdigest())
                     if with_ids:
                         out[3].append([int(x) for x in listed.split(",")] if listed else [])
                 begin = end

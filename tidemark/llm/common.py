@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows and bytes of one Arrow batch. Texts differ in length by four orders of magnitude, so bytes matter more.
@@ -19,8 +19,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees. Only a session without one (tests, notebooks) gets a local one."""
+    """The folder that every executor sees. Only a local session without one (tests, notebooks) gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     if not base:
         base = (Path.cwd() / "spark-warehouse" / "shared").as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
@@ -32,7 +34,16 @@ def table(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex[:12]}/{name}"
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_folder = path.rsplit("/", 1)[0]
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that nothing is going to read again, nor to compute again from."""
+    for t in tables:
+        folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._tidemark_folder)
+        folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +51,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches that stay small when texts are long."""
+    """mapInArrow with batches that stay small when texts are long. Sizes of batches are settings of the session, which are lowered here, never raised."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(f, schema)
 
 
@@ -56,6 +69,22 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def attach(rows: DataFrame, known: DataFrame, key: str, copies: str) -> DataFrame:
+    """rows joined with known, which has one row for each value of key that rows has, and how many rows have it.
+
+    Rows without a key get nulls and aren't shuffled. Values above a ten-thousandth of all rows, of which there are fewer than
+    10,000, go to all tasks, so a value that a third of the rows has doesn't end up in one; the others meet in a shuffle.
+    """
+    total = known.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("n")).first()["n"]
+    columns = [c for c in known.columns if c not in (key, copies)]
+    often = F.col(copies) > max(256, total // 10_000)
+    hot = known.filter(often).select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in columns])
+    marked = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    out = marked.filter("__hot is not null").select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in columns])
+    out = out.unionByName(marked.filter("__hot is null").select(*rows.columns).join(known.filter(~often).select(key, *columns), key, "left").select(*rows.columns, *columns))
+    return out.unionByName(rows.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in columns]))
+
+
 def remainder(column: str | Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo. A null id counts as an empty text."""
     c = F.col(column) if isinstance(column, str) else column
@@ -97,16 +126,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round is a join and an aggregate over tables in the shared folder; only a count reaches the driver. A hub is
     a long run of one join key, which skewed joins split.
     """
-    both = table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(b, a)).filter("a != b").distinct(), "edges")
+    first = both = table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(b, a)).filter("a != b").distinct(), "edges")
     labels = table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
+    written = labels
     for _ in range(64):
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to_node"), F.col("label").alias("to_label"))
         step = table(lower.join(jump, F.col("to") == F.col("to_node")).select("node", "old", F.least("to", "to_label").alias("label")), "labels")
         changed = step.filter("old != label").limit(1).count()
-        labels = step.select("node", "label")
+        forget(written)  # the next round reads the new labels alone
+        labels, written = step.select("node", "label"), step
         if not changed:
+            forget(first)
             return labels
     raise RuntimeError("components did not settle in 64 rounds")
 

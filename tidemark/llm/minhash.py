@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, map_batches, raw, runs, table
+from .common import Forest, attach, components, map_batches, raw, runs, table
 
 COORDINATES, MISS = 64, 1e-6
 #: A posting list above CHUNK classes is dealt in pairs of chunks, a set of candidates above 2 * BLOCK in pairs of blocks.
@@ -336,8 +336,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_colum
     several = classes.select("class", "own_id", "copies").join(linked, F.col("class") == F.col("node")).select("class", "label", "own_id", "copies")
     totals = several.groupBy("label").agg(F.min("own_id").alias("first_id"), F.sum("copies").alias("members"))
     several = several.join(totals, "label").select("class", F.col("label").alias("group"), "first_id", "members")
-    known = classes.select("class", "own_id", "copies").join(several, "class", "left").select("class", F.coalesce("group", "class").alias("group"), F.coalesce("first_id", "own_id").alias("first_id"), F.coalesce("members", "copies").alias("members"))
-    return rows.select("id", "text_hash", "n", "class").join(table(known, "groups"), "class", "left").select("id", "text_hash", "n", "group", "first_id", "members")
+    known = classes.select("class", "own_id", "copies").join(several, "class", "left").select("class", "copies", F.coalesce("group", "class").alias("group"), F.coalesce("first_id", "own_id").alias("first_id"), F.coalesce("members", "copies").alias("members"))
+    return attach(rows.select("id", "text_hash", "n", "class"), table(known, "groups"), "class", "copies").select("id", "text_hash", "n", "group", "first_id", "members")
 
 
 def components_by_document(docs: DataFrame, percent: int = 85, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

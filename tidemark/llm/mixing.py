@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import SPACE, WORD, table
 
 #: Cells by hash that a source's documents fall into, so that no task holds a whole source.
 CELLS = 4096
@@ -41,17 +41,17 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
 def mix_sources(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = (3, 1, 2), seed: int = 42, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """How many words the mixture takes of each document.
 
-    Returns id, source, size, source_size, target, taken, repeats and part: every document of a source is taken
+    Returns id, source, size, source_size, target, taken, repeats, part and text_hash: every document of a source is taken
     `repeats` whole times, and the seeded order of the source's documents gives the fraction left: those before the
     cut once more, the one on the cut with its first `part` words. So a source's words are its target, rounded.
 
     Null texts have size 0 and are taken 0 times. The null source is a source of its own, the last. Null ids and repeated rows
     are ordered by what else they have; equal rows are interchangeable. An empty table gives an empty table.
     """
-    size = F.coalesce(F.expr(f"regexp_count({text_column}, r'{WORD}')"), F.lit(0)).cast("long")
+    size = F.coalesce(F.expr(f"regexp_count(`{text_column}`, r'{WORD}')"), F.lit(0)).cast("long")
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary"))
     cell = F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(1 << 32)) * CELLS / F.lit(1 << 32)
-    rows = table(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size.alias("size"), key.alias("key")).withColumn("cell", F.floor(cell).cast("int")), "sizes")
+    rows = table(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size.alias("size"), key.alias("key"), F.xxhash64(text_column).alias("text_hash")).withColumn("cell", F.floor(cell).cast("int")), "sizes")
     per_cell = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     per_cell = table(per_cell, "cells")
     ranked = (
@@ -73,28 +73,32 @@ def mix_sources(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, we
     joined = cells.join(filled, same(cells, filled)).select(cells["source"], "cell", "source_size", "target", "repeats", (F.col("rest") - F.col("before")).alias("left"), "cell_size")
     # the cut falls into one cell of each source: only its rows need an order among themselves
     cells = joined.withColumn("cut", (F.col("left") > 0) & (F.col("left") < F.col("cell_size")))
-    wide = rows.join(cells, same(rows, cells) & (rows["cell"] == cells["cell"])).select("id", rows["source"], "size", "key", rows["cell"], "source_size", "target", "repeats", "left", "cut")
+    wide = rows.join(cells, same(rows, cells) & (rows["cell"] == cells["cell"])).select("id", rows["source"], "size", "key", "text_hash", rows["cell"], "source_size", "target", "repeats", "left", "cut")
     plain = wide.filter(~F.col("cut")).withColumn("part", F.when(F.col("left") > 0, F.col("size")).otherwise(F.lit(0)))
     inside = Window.partitionBy("source", "cell").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     partly = wide.filter("cut").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
     return plain.unionByName(partly).select(
-        F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("repeats") * F.col("size") + F.col("part")).cast("long").alias("taken"), "repeats", F.col("part").cast("long").alias("part")
+        F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("repeats") * F.col("size") + F.col("part")).cast("long").alias("taken"), "repeats", F.col("part").cast("long").alias("part"), "text_hash"
     )
 
 
 def apply_mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = (3, 1, 2), seed: int = 42, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The mixture itself: docs with each row as often as it is taken, the last time perhaps cut after `part` words.
+    """The mixture itself: docs with each row as often as it is taken, the last time perhaps cut behind `part` words.
 
-    Columns are those of docs; n_chars, where there is one, follows a cut text. Rows are matched by id: rows with an id
-    that occurs more than once all take the most that one of them does; ids are unique in `documents`.
+    A cut text is the beginning of the text as it is, with its own white space, up to the end of its last word. Columns are those of docs; n_chars, where
+    there is one, follows a cut text. Rows are matched by id, source and text; rows that are equal in all three all take the most that one of them does.
     """
     plan = mix_sources(docs, share, max_epochs, weights, seed, id_column, text_column, source_column)
-    plan = plan.groupBy(F.col(id_column).alias("__id")).agg(F.max("repeats").alias("__repeats"), F.max("part").alias("__part"), F.max("size").alias("__size"))
+    plan = plan.groupBy(F.col(id_column).alias("__id"), F.col(source_column).alias("__source"), F.col("text_hash").alias("__hash")).agg(F.max("repeats").alias("__repeats"), F.max("part").alias("__part"), F.max("size").alias("__size"))
     whole = F.col("__repeats") + F.when((F.col("__part") >= F.col("__size")) & (F.col("__size") > 0), 1).otherwise(0)
     cut = (F.col("__part") > 0) & (F.col("__part") < F.col("__size"))
-    joined = docs.join(plan, docs[id_column].eqNullSafe(F.col("__id")))
+    joined = docs.join(plan, docs[id_column].eqNullSafe(F.col("__id")) & docs[source_column].eqNullSafe(F.col("__source")) & (F.xxhash64(docs[text_column]) == F.col("__hash")))
     joined = joined.withColumn("__times", F.when(F.col("__size") == 0, F.lit(0)).otherwise(whole)).withColumn("__copy", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("__times").cast("int")), F.when(cut, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
-    first = F.array_join(F.slice(F.expr(f"regexp_extract_all({text_column}, r'{WORD}', 0)"), F.lit(1), F.greatest(F.col("__part"), F.lit(1)).cast("int")), " ")
+    # the characters of the first words and of the white space before each of them
+    total = lambda array, n: F.aggregate(F.slice(array, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), F.lit(0), lambda s, x: s + F.char_length(x))
+    words, blanks = (F.expr(f"regexp_extract_all(`{text_column}`, r'{p}', 0)") for p in (WORD, SPACE))
+    size = total(words, F.col("__part")) + total(blanks, F.col("__part") - F.col(text_column).rlike(f"^{WORD}").cast("long"))
+    first = F.left(F.col(text_column), size)
     out = {text_column: F.when(F.col("__copy"), first).otherwise(F.col(text_column))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("__copy"), F.length(first).cast("long")).otherwise(F.col("n_chars"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, lattice, minhash, mixing, oracles, secrets, shards, sketch, surrogates, toxicity, vectors
 from .common import read
 
-#: Where the public vocabularies are; a parameter of the operators.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Where the public vocabulary is, here and on the executors; a parameter of the operators.
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op4_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("repeats", "part")
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("repeats", "part", "text_hash")
 
 
 def op6_bpe_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, table
 
 #: Types and patterns, the first that matches at a place counts (Java's syntax). Digits stand alone, not within words.
 #: Repeated groups are possessive or bounded: Java's regular expressions recurse for each round of others, and a long text would
@@ -198,7 +198,7 @@ def draw(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entities = _with_entities(docs.select(F.explode(F.array_distinct(found(F.col(text_column)))).alias("m"))).select("kind", "norm").distinct().repartition(tasks, "kind", "norm").withColumn("attempt", F.lit(0))
     value = F.lower(drawn(key, F.col("kind"), F.col("norm"), F.col("attempt")))
-    entities = table(entities.withColumn("drawn", value), "entities")
+    first = entities = table(entities.withColumn("drawn", value), "entities")
     real = entities.filter("kind != 'given'").select("kind", F.col("norm").alias("taken"))
     # a local part is checked among local parts; that no surrogate is a real address follows from its domain
     for _ in range(ROUNDS):
@@ -207,9 +207,11 @@ def draw(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
         known = entities.join(owners, ["kind", "drawn"]).join(real, (entities["kind"] == real["kind"]) & (F.col("drawn") == F.col("taken")), "left").select(entities["*"], ((F.col("owner.norm") != F.col("norm")) | F.col("taken").isNotNull()).alias("again"))
         known = table(known, "checked")
         if not known.filter("again").limit(1).count():
+            forget(known)
             return entities
         redrawn = known.withColumn("attempt", F.col("attempt") + F.col("again").cast("int"))
-        entities = table(redrawn.withColumn("drawn", F.when(F.col("again"), value).otherwise(F.col("drawn"))).drop("again"), "entities")
+        before, entities = entities, table(redrawn.withColumn("drawn", F.when(F.col("again"), value).otherwise(F.col("drawn"))).drop("again"), "entities")
+        forget(known, *([before] if before is not first else []))
     raise RuntimeError("surrogates still collide: the space of some type is too small for its entities")
 
 
