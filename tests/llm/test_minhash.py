@@ -73,6 +73,31 @@ def test_large_groups_are_dealt_in_chunks_and_blocks(spark, monkeypatch):
     assert got(minhash.components_by_document(df)) == brute(docs)
 
 
+def test_links_between_groups_of_two_representatives_are_found(spark, monkeypatch):
+    # a chain: neighbours are linked, ends aren't, and any few classes stand for a part of it only
+    monkeypatch.setattr(minhash, "CHUNK", 16)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    base = [f"w{k}" for k in range(400)]
+    docs = [(k, " ".join(base[2 * k : 2 * k + 120])) for k in range(140)]
+    random.Random(3).shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = got(minhash.components_by_document(df, percent=85))
+    assert found == brute(docs, 85) and {c for _, _, c in found} == {"0"}
+
+
+def test_a_large_group_of_near_copies_isn_t_compared_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 32)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    docs = near_copies(1500, 200, 5, 2)
+    dealt = []
+    plain = minhash.deal
+    monkeypatch.setattr(minhash, "deal", lambda *a, **k: (dealt.append(d := plain(*a, **k)), d)[1])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {c for _, _, c in got(minhash.components_by_document(df))} == {"0"}
+    # rows that are dealt again: pairs of chunks would be 1500 * 47 for every long list
+    assert sum(d.count() for d in dealt) < 1500 * 47
+
+
 def test_edges(spark):
     data = [(r[0], r[1]) for r in rows()]
     assert got(minhash.components_by_document(frame(spark))) == brute(data)

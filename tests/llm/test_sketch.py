@@ -68,3 +68,17 @@ def test_ranges_and_edges(spark, monkeypatch):
     assert sketch.fingerprints(empty(spark)).count() == 0
     one = sketch.fingerprints(frame(spark, data[:1])).first()
     assert one["near_next"] == 1.0
+
+
+def test_ids_of_any_type_have_their_successor(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "ROWS_A_RANGE", 7)
+    texts = [f"text {k} of some words {k * k}" for k in range(200)]
+    names = {"string": [f"doc-{k:06d}" for k in range(200)], "double": [k * 0.5 - 3 for k in range(200)], "date": None}
+    for kind in names:
+        ids = "date_add(date'1999-01-01', cast(id as int))" if kind == "date" else "doc_id"
+        df = spark.createDataFrame([(k, names[kind][k] if names[kind] else None, t) for k, t in enumerate(texts)], f"id long, doc_id {kind}, text string").selectExpr(f"{ids} as doc_id", "text", "id").repartition(4)
+        ranges = sketch.with_range(df, "doc_id").groupBy("__range").count().collect()
+        assert len(ranges) > 10 and max(r["count"] for r in ranges) < 40
+        out = {r["doc_id"]: r["edited_sha256"] for r in sketch.fingerprints(df).collect()}
+        for k, i in enumerate(r["doc_id"] for r in df.orderBy("id").collect()):
+            assert out[i] == hashlib.sha256(edited(texts[k], texts[(k + 1) % 200]).encode()).hexdigest()

@@ -10,7 +10,11 @@
 4. The classes of a posting list are merged by a walk that counts agreeing coordinates against classes not yet reached
    only, skipping all that is connected already. What leaves the list is a forest, not its pairs.
 5. Connected candidates come together with their full sets, where exact counts confirm links; the walk skips here in
-   the same way. Large sets of candidates are dealt in blocks, every pair of blocks in some task.
+   the same way.
+6. Long lists and large sets of candidates are first compared with a few of their own classes (representatives). What is tied to the one that most
+   are tied to is one component already, so among these nothing is left to find. The rest is dealt in blocks, each with every
+   block of the whole. A group of near copies, however large, costs what it has rows; only lists whose classes
+   are not alike grow with their square.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from pyspark.sql import functions as F
 from .common import Forest, attach, components, map_batches, raw, runs, table
 
 COORDINATES, MISS = 64, 1e-6
-#: A posting list above CHUNK classes is dealt in pairs of chunks, a set of candidates above 2 * BLOCK in pairs of blocks.
-CHUNK, BLOCK, BLOCKS = 1024, 128, 32
+#: A posting list above CHUNK classes is long, a set of candidates above 2 * BLOCK is large.
+CHUNK, BLOCK = 1024, 128
+#: Representatives of a long list or a large set of candidates.
+STAND = 4
 #: Bits of the tables of token counts and of needed classes; they grow with the classes up to this size (2 MB each).
-MOST_BITS = 18
+MOST_BITS = 20
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(20_240_229)
@@ -174,18 +180,49 @@ def merge_list(n: np.ndarray, low: np.ndarray, side: np.ndarray, matches: int, p
     return out
 
 
+def representatives(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, stand): for each key a list of a few of its classes, with some columns, the same in every run."""
+    lot = F.xxhash64(F.lit("stand"), "class")
+    few = rows.groupBy(key, F.pmod(lot, F.lit(STAND)).alias("__lot")).agg(F.min(F.struct(lot.alias("lot"), "class", *columns)).alias("one"))
+    return few.groupBy(key).agg(F.sort_array(F.collect_list("one")).alias("stand"))
+
+
+def tied_to_most(ties: DataFrame, key: str) -> DataFrame:
+    """(key, class, tied): whether a class is tied to the representative of its key that has the most ties. ties: (key, class, to), to is null where there is none."""
+    most = ties.filter("to is not null").groupBy(key, "to").agg(F.count("*").alias("n")).groupBy(key).agg(F.max(F.struct("n", "to"))["to"].alias("__most"))
+    return ties.join(most, key, "left").groupBy(key, "class").agg(F.coalesce(F.max(F.col("to") == F.col("__most")), F.lit(False)).alias("tied"))
+
+
+def deal(rows: DataFrame, key: str, size: int, columns: list[str]) -> DataFrame:
+    """(key, i, j, side, columns) of rows (key, tied, columns): every chunk of rows that aren't tied (side 0) meets every chunk of all rows (side 1), chunks having about `size` rows."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n"), F.count(F.when(~F.col("tied"), 1)).alias("__rest")).filter("__rest > 0")
+    chunks = lambda c: F.ceil(F.col(c) / size).cast("int")
+    counts = counts.select(key, chunks("__n").alias("__wide"), chunks("__rest").alias("__high"))
+    both = rows.join(counts, key)
+    lot = lambda c: F.pmod(F.xxhash64("class"), F.col(c)).cast("int")
+    rest = both.filter(~F.col("tied")).select(key, lot("__high").alias("i"), F.explode(F.sequence(F.lit(0), F.col("__wide") - 1)).alias("j"), F.lit(0).alias("side"), *columns)
+    return rest.unionByName(both.select(key, F.explode(F.sequence(F.lit(0), F.col("__high") - 1)).alias("i"), lot("__wide").alias("j"), F.lit(1).alias("side"), *columns))
+
+
 def candidate_forest(posted: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
     """(a, b): classes connected in some posting list. Signatures, a byte of each minimum, join lists of two classes or more only."""
     lengths = posted.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1")
     rows = posted.join(lengths, "token").join(classes.select("class", "n", "low"), "class")
     short = rows.filter(F.col("length") <= CHUNK).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "class", "n", "low", F.lit(2).alias("side"))
-    # long lists: each class meets each chunk
-    long = rows.filter(F.col("length") > CHUNK).withColumn("chunks", F.ceil(F.col("length") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
-    dealt = (
-        long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)})
-        .select("token", "i", "j", "class", "n", "low", "side")
-    )
+    long = table(rows.filter(F.col("length") > CHUNK).select("token", "class", "n", "low"), "long")
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each class with the representatives of its list that it agrees with; itself alone where there are none."""
+        for batch in batches:
+            cls, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            low = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(n), -1)
+            out: tuple[list, list] = ([], [])
+            for k, stand in enumerate(batch.column(4).to_pylist()):
+                tied = [x["class"] for x in stand if x["class"] == cls[k] or ((np.frombuffer(x["low"], np.uint8) == low[k]).sum() >= matches and 100 * min(x["n"], n[k]) >= percent * max(x["n"], n[k]))]
+                out[0].extend([k] * max(1, len(tied)))
+                out[1].extend(tied or [None])
+            at = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out[1], pa.int64())], ["token", "class", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
@@ -201,9 +238,17 @@ def candidate_forest(posted: DataFrame, classes: DataFrame, matches: int, percen
                 held = ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[1], pa.int64())], ["a", "b"])
 
-    dealt = short.unionByName(dealt).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "class")
+    dealt, edges = short, None
+    if long.limit(1).count():
+        stand = representatives(long, "token", ["n", "low"])
+        tied = table(map_batches(long.join(stand, "token").select("token", "class", "n", "low", "stand"), tie, "token long, class long, to long"), "tied")
+        edges = tied.filter("to is not null and to != class").select(F.col("to").alias("a"), F.col("class").alias("b"))
+        dealt = dealt.unionByName(deal(long.join(tied_to_most(tied, "token"), ["token", "class"]), "token", CHUNK, ["class", "n", "low"]))
+    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "class")
     found = map_batches(dealt, run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if edges is not None:
+        found = found.unionByName(edges)
+    return found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def needed_filter(needed: DataFrame, bits: int) -> np.ndarray:
@@ -230,9 +275,16 @@ def places(text_hash: np.ndarray, cls: np.ndarray, bits: int) -> Iterator[tuple[
         yield (x >> _U(64 - bits)).astype(np.int64), _U(1) << (x & _U(63))
 
 
-def full_sets(docs: DataFrame, needed: DataFrame, rows: int, text_column: str, width: int) -> DataFrame:
-    """(class, shingles) of the needed (text_hash, class): texts are read again, and what the filter lets by is computed again."""
-    bits = bits_for(rows // 4)
+def full_sets(docs: DataFrame, needed: DataFrame, text_column: str, width: int) -> DataFrame:
+    """(text_hash, class, shingles) of the needed (text_hash, class): texts are read again, and what the filter lets by is computed again.
+
+    Where more classes are needed than the filter has room for, texts are first joined with the needed hashes.
+    """
+    rows = needed.count()
+    bits = bits_for(rows)
+    texts = docs.select(F.xxhash64(F.col(text_column)).alias("text_hash"), F.col(text_column).alias("text"))
+    if rows > 8 << bits:
+        texts = texts.join(needed.select("text_hash").distinct(), "text_hash", "left_semi")
     words = needed_filter(needed, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +303,6 @@ def full_sets(docs: DataFrame, needed: DataFrame, rows: int, text_column: str, w
                     sets.append(s.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([th[k] for k in keep], pa.int64()), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["text_hash", "class", "shingles"])
 
-    texts = docs.select(F.xxhash64(F.col(text_column)).alias("text_hash"), F.col(text_column).alias("text"))
     return map_batches(texts, run, "text_hash long, class long, shingles binary")
 
 
@@ -286,20 +337,27 @@ def link_forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
 def confirm(sets: DataFrame, needed: DataFrame, percent: int) -> DataFrame:
     """(a, b) that connect what is linked, from sets and (label, class, text_hash): exact counts within each label.
 
-    Labels above 2 * BLOCK classes are dealt in pairs of blocks: their number is at most BLOCKS until a block would
-    exceed 16 * BLOCK classes.
+    Labels above 2 * BLOCK classes are compared with representatives first, the rest is dealt in blocks.
     """
-    rows = needed.join(needed.groupBy("label").agg(F.count("*").alias("members")), "label")
-    per_block = F.least(F.greatest(F.ceil(F.col("members") / BLOCKS), F.lit(BLOCK)), F.lit(16 * BLOCK))
-    rows = rows.withColumn("blocks", F.when(F.col("members") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("members") / per_block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = (
-        sets.join(rows, ["text_hash", "class"])
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)})
-        .select("label", "i", "j", "class", "side", "shingles")
-        .repartition("label", "i", "j")
-        .sortWithinPartitions("label", "i", "j", "class")
-    )
+    rows = sets.join(needed.join(needed.groupBy("label").agg(F.count("*").alias("members")), "label"), ["text_hash", "class"])
+    short = rows.filter(F.col("members") <= 2 * BLOCK).select("label", F.lit(0).alias("i"), F.lit(0).alias("j"), "class", F.lit(2).alias("side"), "shingles")
+    large = needed.groupBy("label").agg(F.count("*").alias("members")).filter(F.col("members") > 2 * BLOCK)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
+            out: tuple[list, list] = ([], [])
+            for k, stand in enumerate(batch.column(3).to_pylist()):
+                tied = []
+                for x in stand:
+                    other = np.frombuffer(x["shingles"], "<u8")
+                    both = len(np.intersect1d(own[k], other, assume_unique=True))
+                    if 100 * both >= percent * (len(own[k]) + len(other) - both):
+                        tied.append(x["class"])
+                out[0].extend([k] * max(1, len(tied)))
+                out[1].extend(tied or [None])
+            at = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out[1], pa.int64())], ["label", "class", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
@@ -310,7 +368,17 @@ def confirm(sets: DataFrame, needed: DataFrame, percent: int) -> DataFrame:
                     u, v = np.array(links).T
                     yield pa.RecordBatch.from_arrays([pa.array(cls[u], pa.int64()), pa.array(cls[v], pa.int64())], ["a", "b"])
 
-    return map_batches(dealt, run, "a long, b long")
+    dealt, edges = short, None
+    if large.limit(1).count():
+        wide = table(rows.filter(F.col("members") > 2 * BLOCK).select("label", "class", "shingles"), "wide")
+        # few sets of each large label meet all of it
+        stand = representatives(wide, "label", ["shingles"])
+        tied = table(map_batches(wide.join(stand, "label").select("label", "class", "shingles", "stand"), tie, "label long, class long, to long"), "tied")
+        edges = tied.filter("to is not null and to != class").select(F.col("to").alias("a"), F.col("class").alias("b"))
+        dealt = dealt.unionByName(deal(wide.join(tied_to_most(tied, "label"), ["label", "class"]), "label", 8 * BLOCK, ["class", "shingles"]).select("label", "i", "j", "class", "side", "shingles"))
+    dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "class")
+    found = map_batches(dealt, run, "a long, b long")
+    return (found if edges is None else found.unionByName(edges)).filter("a != b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -330,7 +398,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_colum
     forest = candidate_forest(postings(classes, counts, COORDINATES - matches + 1), classes, matches, percent)
     labels = components(forest)
     needed = table(labels.join(classes.select("class", "text_hash"), F.col("node") == F.col("class")).select("label", "class", "text_hash"), "needed")
-    sets = full_sets(docs, needed, many, text_column, width).dropDuplicates(["text_hash", "class"])
+    sets = table(full_sets(docs, needed, text_column, width).dropDuplicates(["text_hash", "class"]), "sets")
     linked = components(confirm(sets, needed, percent))
     # groups of several classes; all others are a class alone
     several = classes.select("class", "own_id", "copies").join(linked, F.col("class") == F.col("node")).select("class", "label", "own_id", "copies")

@@ -7,15 +7,18 @@ said about them is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 K, WIDTH = 256, 5
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-#: Ranges of ids that documents are dealt into to find each one's successor.
-RANGES, ROWS_A_RANGE = 16_384, 500
+#: Ranges of ids that documents are dealt into to find each one's successor: a range grows with the table beyond RANGES * ROWS_A_RANGE rows.
+RANGES, ROWS_A_RANGE = 65_536, 500
 
 
 def word_hashes(text: Column) -> Column:
@@ -67,31 +70,52 @@ def as_text(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.hex(x)), "")))
 
 
-def id_ranges(docs: DataFrame, column: str) -> Column:
-    """The range that an id falls into. Bounds are quantiles, at most RANGES of them; null ids have a range of their own."""
+def placed(docs: DataFrame, column: str) -> Column:
+    """A number that grows with the id (not strictly), whatever its type: of texts, the first seven bytes behind what all have in common."""
+    kind = docs.schema[column].dataType
+    c = F.col(column)
+    if isinstance(kind, T.StringType | T.BinaryType):
+        ends = docs.agg(F.hex(F.min(c.cast("binary"))).alias("a"), F.hex(F.max(c.cast("binary"))).alias("b")).first()
+        same = len(os.path.commonprefix([ends["a"] or "", ends["b"] or ""])) // 2
+        # of shorter ids the missing bytes are the least
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), same + 1, 7)), 14, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType | T.TimestampType):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c).cast("double")
+    return c.cast("double")
+
+
+def with_range(docs: DataFrame, column: str) -> DataFrame:
+    """Adds __range, the range that an id falls into. Bounds are quantiles; null ids have a range of their own, the last.
+
+    There are as many ranges as rows ask for, up to RANGES: a list of their bounds, half a megabyte at most, goes to all tasks.
+    """
+    keyed = docs.withColumn("__place", placed(docs, column))
     n = docs.count()
     wanted = min(RANGES, max(1, n // ROWS_A_RANGE))
-    found = docs.select(F.percentile_approx(F.col(column).cast("long"), [k / wanted for k in range(1, wanted)], 10 * RANGES).alias("q")).first()[0] if wanted > 1 else None
-    bounds = sorted(set(found or []))
-    if not bounds:
-        return F.when(F.col(column).isNull(), 1).otherwise(0)
-    # two levels of about equal length, so that a row is compared with few bounds
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    below = lambda array: F.size(F.filter(array, lambda b: b <= F.col(column).cast("long")))
-    coarse = F.lit([g[0] for g in groups])
-    fine = F.element_at(F.array(*[F.lit(g) for g in groups]), F.greatest(below(coarse), F.lit(1)))
-    return F.when(F.col(column).isNull(), len(bounds) + 1).otherwise(F.greatest(below(coarse) - 1, F.lit(0)) * step + below(fine))
-
-
-def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    if wanted == 1:
+        return keyed.withColumn("__range", F.col(column).isNull().cast("int")).drop("__place")
+    bounds = keyed.agg(F.sort_array(F.array_distinct(F.percentile_approx("__place", [k / wanted for k in range(1, wanted)], 4 * wanted))).alias("__bounds"))
+    # one row: a list of lists, so that an id is compared with few bounds
+    step = max(1, int(wanted**0.5))
+    lists = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__bounds"), F.lit(1)), F.lit(step)), lambda k: F.slice("__bounds", k, step))
+    bounds = table(bounds.select(lists.alias("__lists"), F.transform(lists, lambda x: F.get(x, F.lit(0))).alias("__firsts"), F.size("__bounds").alias("__all")), "bounds")
+    below = lambda array: F.size(F.filter(array, lambda b: b <= F.col("__place")))
+    coarse = F.greatest(below(F.col("__firsts")) - 1, F.lit(0))
+    out = keyed.crossJoin(F.broadcast(bounds)).withColumn("__list", coarse)  # one row
+    own = F.col("__list") * step + below(F.get("__lists", F.col("__list")))
+    return out.withColumn("__range", F.when(F.col("__place").isNull(), F.col("__all") + 1).otherwise(own)).drop("__place", "__lists", "__firsts", "__all", "__list")
+
+
+def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, WindowSpec]:
     """Adds next_<column> of the document that follows by ascending id (null ids last, equal ids by text hash, after the last the first).
 
     Documents are dealt into ranges of ids; the first of each range is also dealt to the range before it, as the
-    last there. So no window is larger than a range.
+    last there. So no window is larger than a range. Also returns the window.
     """
     order = [F.col(id_column).asc_nulls_last(), F.col("__hash")]
-    keyed = docs.withColumns({"__range": id_ranges(docs, id_column), "__hash": F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))})
+    keyed = with_range(docs, id_column).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
     light = keyed.groupBy("__range").agg(F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "__hash")).alias("first"))
     # one row for each range, RANGES + 1 at most
     before = F.lag("__range").over(Window.partitionBy().orderBy("__range"))
