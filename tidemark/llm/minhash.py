@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, attach, components, map_batches, raw, runs, table
+from .common import Forest, attach, components, deal, map_batches, raw, runs, table
 
 COORDINATES, MISS = 64, 1e-6
 #: A posting list above CHUNK classes is long, a set of candidates above 2 * BLOCK is large.
@@ -193,17 +193,6 @@ def tied_to_most(ties: DataFrame, key: str) -> DataFrame:
     return ties.join(most, key, "left").groupBy(key, "class").agg(F.coalesce(F.max(F.col("to") == F.col("__most")), F.lit(False)).alias("tied"))
 
 
-def deal(rows: DataFrame, key: str, size: int, columns: list[str]) -> DataFrame:
-    """(key, i, j, side, columns) of rows (key, tied, columns): every chunk of rows that aren't tied (side 0) meets every chunk of all rows (side 1), chunks having about `size` rows."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("__n"), F.count(F.when(~F.col("tied"), 1)).alias("__rest")).filter("__rest > 0")
-    chunks = lambda c: F.ceil(F.col(c) / size).cast("int")
-    counts = counts.select(key, chunks("__n").alias("__wide"), chunks("__rest").alias("__high"))
-    both = rows.join(counts, key)
-    lot = lambda c: F.pmod(F.xxhash64("class"), F.col(c)).cast("int")
-    rest = both.filter(~F.col("tied")).select(key, lot("__high").alias("i"), F.explode(F.sequence(F.lit(0), F.col("__wide") - 1)).alias("j"), F.lit(0).alias("side"), *columns)
-    return rest.unionByName(both.select(key, F.explode(F.sequence(F.lit(0), F.col("__high") - 1)).alias("i"), lot("__wide").alias("j"), F.lit(1).alias("side"), *columns))
-
-
 def candidate_forest(posted: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
     """(a, b): classes connected in some posting list. Signatures, a byte of each minimum, join lists of two classes or more only."""
     lengths = posted.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1")
