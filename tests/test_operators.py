@@ -159,3 +159,51 @@ def test_events_stage_once(spark):
 def test_ranking_frames(spark):
     assert pytest.approx(1.0) == spark.range(1).select(S.ratio(F.lit(2), F.lit(2))).first()[0]
     assert spark.range(1).select(S.ratio(F.lit(2), F.lit(0))).first()[0] is None
+
+
+def test_line_keys_tell_lines_of_very_many_orders_apart(spark):
+    from tidemark.plans import composite
+
+    rows = [(10**11, 1, 5 * 10**11, 9_999_999_999), (10**11, 1, 5 * 10**11 + 1, 1), (10**11, 2, 1, 1), (150_000_000, 7, 20_000_000, 1_000_000), (150_000_000, 7, 20_000_001, 0), (0, 1, 0, 10_000), (0, 1, 1, 0)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, k int").withColumn("line", composite.line_key())
+    keys = {r["k"]: r["line"] for r in df.collect()}
+    assert len(set(keys.values())) == len(rows)
+    assert [k for k, _ in sorted(keys.items(), key=lambda x: x[1])] == [k for k, _ in sorted(enumerate(rows), key=lambda x: x[1])]
+
+
+def test_type1_overwrites_matched_rows_only_and_with_nulls(spark):
+    dim = spark.createDataFrame([("a", 1, "p", "x", "r"), ("b", 2, None, "x", None), ("c", 3, "p", "x", "r")], "k string, sk long, f string, g string, h string")
+    latest = spark.createDataFrame([("b", None, "y", None), ("c", None, None, "s"), ("d", "n", None, None), ("e", None, None, None)], "k string, f string, g string, h string")
+    out = {r["k"]: tuple(r)[1:] for r in dims.type1_upsert(dim, latest, "k", "sk", ["f", "g", "h"]).collect()}
+    assert out["a"] == (1, "p", "x", "r") and out["b"] == (2, None, "y", None) and out["c"] == (3, None, None, "s")
+    assert sorted((out["d"][0], out["e"][0])) == [4, 5] and out["d"][1:] == ("n", None, None)
+
+
+def test_appends_keep_the_first_row_of_a_key(spark):
+    target = spark.createDataFrame([(1, "f0", 1)], "k int, file string, line int")
+    batch = spark.createDataFrame([(2, "f2", 1), (2, "f1", 9), (2, "f1", 3), (1, "f1", 1), (3, "f1", 1), (3, "f1", 1)], "k int, file string, line int").repartition(3)
+    out = sorted(tuple(r) for r in relational.only_new(target, batch, ["k"], [F.col("file"), F.col("line")]).collect())
+    assert out == [(2, "f1", 3), (3, "f1", 1)] == sorted(tuple(r) for r in relational.only_new(target, batch, ["k"]).collect())
+    assert relational.only_new(target.select("k"), batch.select("k"), ["k"]).count() == 2
+
+
+def test_short_lists_aren_t_cut(spark):
+    many = spark.range(12_000).select(F.col("id").alias("period"))
+    members = spark.createDataFrame([(1,)], "member long")
+    activity = spark.createDataFrame([(1, 11_999, 5)], "member long, period long, n long")
+    grid = relational.dense_grid(members, many, activity, ["member", "period"], ["n"])
+    assert grid.count() == 12_000 and grid.agg(F.sum("n")).first()[0] == 5
+    values = spark.range(1500).select(F.col("id").cast("string").alias("v"))
+    assert dims.junk([(values, "v")], "sk").count() == 1501
+    assert relational.small(values, 10)._jdf.queryExecution().optimizedPlan().toString().count("hint") == 0
+
+
+@FAST
+@given(st.lists(st.integers(0, 6) | st.none(), max_size=40), st.integers(1, 11))
+def test_ranks_are_those_of_windows(spark, values, tiles):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v long")
+    w = Window.partitionBy().orderBy(F.desc_nulls_last("v"))
+    want = df.withColumns({"rank": F.rank().over(w), "dense_rank": F.dense_rank().over(w), "tied_peers": F.count("*").over(Window.partitionBy("v")) - 1, "tile": F.ntile(tiles).over(Window.partitionBy().orderBy(F.desc_nulls_last("v"), "k"))})
+    assert sorted(map(tuple, relational.ranks(df, "v", ["k"], tiles).select(want.columns).collect())) == sorted(map(tuple, want.collect()))

@@ -41,6 +41,11 @@ def is_calendar_date(c: Column) -> Column:
     return F.when(c.isNotNull(), c.rlike(DATE_PREFIX) & F.substring(c, 1, 10).try_cast("date").isNotNull())
 
 
+def timestamp_of(c: Column) -> Column:
+    """A timestamp where the text begins with a day that exists, else null."""
+    return F.when(is_calendar_date(c), c.try_cast("timestamp_ntz"))
+
+
 def money(c: Column) -> Column:
     return c.try_cast("decimal(18,2)")
 

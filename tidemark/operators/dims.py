@@ -20,9 +20,20 @@ def dim_stage(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STAGES, "stage_sk int, stage_code string, stage_order int, sla_days int, is_terminal boolean")
 
 
+def with_kinds(stages: DataFrame) -> DataFrame:
+    """Adds is_won, is_lost, is_stalled and holds: a stage is open, or it is exactly one kind of closed."""
+    kinds = {"is_won": "CLOSED_WON", "is_lost": "LOST", "is_stalled": "STALLED"}
+    out = stages.withColumns({k: F.col("stage_code") == code for k, code in kinds.items()})
+    n = sum((F.col(k).cast("int") for k in kinds), F.lit(0))
+    return out.withColumn("holds", (F.col("is_terminal") == (n > 0)) & (n <= 1))
+
+
 def dim_date(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """One row a day. The fiscal year runs from March to February and is named after the year in which it ends."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date"))
+    return calendar(spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date")))
+
+
+def calendar(days: DataFrame) -> DataFrame:
+    """One row for each day of a column date. The fiscal year runs from March to February and is named after the year in which it ends."""
     d = F.col("date")
     month_day = F.date_format(d, "MM-dd")
     shifted = F.add_months(d, 10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def quarantine_before(events: DataFrame, deals: DataFrame, deal: str, at: str, r
     return events.join(d, F.col(deal) == F.col("__d"), "left").withColumn("reason", F.when(F.col("__d").isNull(), "orphan_deal").when(F.col(at) < F.col("__received"), "before_receipt")).drop("__d", "__received")
 
 
+def only(events: DataFrame, deal: str, deals: Sequence | None = None) -> DataFrame:
+    """Events of some deals; None means all."""
+    return events if deals is None else events.filter(F.array_contains(F.lit(list(deals)), F.col(deal)))
+
+
 def sequence(events: DataFrame, deal: str, at: str, line: str, order: str, terminal: str, stage: str) -> DataFrame:
     """Adds event_seq, from_stage (0 for the first), days_in_prev_stage (time in the stage that is left), is_forward and is_impossible."""
     w = Window.partitionBy(deal).orderBy(at, line)

@@ -25,8 +25,10 @@ SELECT CAST(year(received_date) AS INTEGER) AS year, count(*) AS deals, CAST(sum
 FROM deals GROUP BY 1"""
 )
 def q01_flow_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calendar = dims.dim_date(spark, "1994-01-01", "2002-12-31").select("date", "year", "is_shutdown")
-    d = deals(spark, sf_dir).join(F.broadcast(calendar), F.col("received_date") == F.col("date"))
+    """By the calendar of the days from the first deal to the last."""
+    d = deals(spark, sf_dir)
+    days = d.agg(F.explode(F.sequence(F.min("received_date"), F.max("received_date"))).alias("date"))
+    d = d.join(F.broadcast(dims.calendar(days).select("date", "year", "is_shutdown")), F.col("received_date") == F.col("date"))  # one row a day
     return (
         d.groupBy("year")
         .agg(
@@ -99,25 +101,25 @@ def q04_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DEALS_SQL},
+    lambda: f"""WITH {DEALS_SQL}, {SNAPSHOT_SQL},
 bound AS (SELECT max(received_date) AS d FROM deals),
-b AS (SELECT broker, count(*) AS deals, CAST(sum(value) / 100000 AS BIGINT) AS band, sum(value) AS value FROM deals WHERE received_date > (SELECT d - INTERVAL 1 YEAR FROM bound) GROUP BY broker)
-SELECT b.broker, c_name AS name, c_mktsegment AS segment, deals, band, CAST(value AS DECIMAL(28,2)) AS value, rank() OVER (ORDER BY band DESC) AS rank, dense_rank() OVER (ORDER BY band DESC) AS dense_rank,
+b AS (SELECT cur.broker, cur.attribute AS agency, count(*) AS deals, CAST(sum(value) / 100000 AS BIGINT) AS band, sum(value) AS value FROM deals d JOIN dim hist ON hist.broker = d.broker AND CAST(received_date AS TIMESTAMP) >= hist.valid_from AND CAST(received_date AS TIMESTAMP) < hist.valid_to JOIN dim cur ON cur.broker = hist.broker AND cur.valid_to = TIMESTAMP '9999-12-31' WHERE received_date > (SELECT d - INTERVAL 1 YEAR FROM bound) GROUP BY 1, 2)
+SELECT b.broker, c_name AS name, c_mktsegment AS segment, agency, deals, band, CAST(value AS DECIMAL(28,2)) AS value, rank() OVER (ORDER BY band DESC) AS rank, dense_rank() OVER (ORDER BY band DESC) AS dense_rank,
   count(*) OVER (ORDER BY band DESC RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1 AS tied_peers, ntile(4) OVER (ORDER BY band DESC, b.broker) AS quartile, round(CAST(value AS DOUBLE) / CAST(sum(value) OVER () AS DOUBLE), 6) AS share
 FROM b JOIN customer ON c_custkey = b.broker ORDER BY rank, b.broker LIMIT 20"""
 )
 def q05_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks by value in bands, so that ties occur. The rank windows see one row for each broker of the year."""
-    d = deals(spark, sf_dir)
-    bound = d.agg(F.add_months(F.max("received_date"), -12).alias("__after"))
-    b = d.join(F.broadcast(bound), F.col("received_date") > F.col("__after")).groupBy("broker").agg(F.count("*").alias("deals"), F.sum("value").alias("value"))
-    b = b.withColumn("band", F.round(F.col("value") / 100000, 0).cast("long"))
-    w = Window.partitionBy().orderBy(F.desc_nulls_last("band"))
-    ranked = b.withColumns(
-        {"rank": F.rank().over(w), "dense_rank": F.dense_rank().over(w), "tied_peers": F.count("*").over(w.rangeBetween(0, 0)) - 1, "quartile": F.ntile(4).over(Window.partitionBy().orderBy(F.desc_nulls_last("band"), "broker")), "share": F.round(F.col("value").cast("double") / F.sum("value").over(Window.partitionBy()).cast("double"), 6)}
-    )
+    """Ranks by value in bands, so that ties occur. A deal's key is that of a version, perhaps a superseded one: it counts for who that is today, with today's agency."""
+    fact, dim = by_version(spark, sf_dir)
+    bound = deals(spark, sf_dir).agg(F.add_months(F.max("received_date"), -12).alias("__after"))  # one row
+    d = fact.join(F.broadcast(bound), F.col("received_date") > F.col("__after"))
+    d = relational.current_of_version(d.drop("broker"), dim, "broker_sk", "broker", ["broker", "attribute"])
+    b = d.groupBy("broker", F.col("attribute").alias("agency")).agg(F.count("*").alias("deals"), F.sum("value").alias("value")).withColumn("band", F.round(F.col("value") / 100000, 0).cast("long"))
+    b = kept(b)  # read for the ranks, the total and the rows
+    total = b.agg(F.sum("value").cast("double").alias("__total"))  # one row
+    ranked = relational.ranks(b, "band", ["broker"], 4).join(F.broadcast(total)).withColumn("share", F.round(F.col("value").cast("double") / F.col("__total"), 6)).withColumnRenamed("tile", "quartile")
     c = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    return ranked.orderBy("rank", "broker").limit(20).join(c, F.col("broker") == F.col("c_custkey")).select("broker", "name", "segment", "deals", "band", F.col("value").cast("decimal(28,2)").alias("value"), "rank", "dense_rank", "tied_peers", "quartile", "share").orderBy("rank", "broker")
+    return ranked.orderBy("rank", "broker").limit(20).join(c, F.col("broker") == F.col("c_custkey")).select("broker", "name", "segment", "agency", "deals", "band", F.col("value").cast("decimal(28,2)").alias("value"), "rank", "dense_rank", "tied_peers", "quartile", "share").orderBy("rank", "broker")
 
 
 @query(
@@ -245,8 +247,8 @@ def q11_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DEALS_SQL},
-m AS (SELECT DISTINCT broker, CAST(year(received_date) * 12 + month(received_date) - 1 AS INTEGER) AS m FROM deals),
+    lambda: f"""WITH {DEALS_SQL}, {SNAPSHOT_SQL},
+m AS (SELECT DISTINCT cur.broker, CAST(year(received_date) * 12 + month(received_date) - 1 AS INTEGER) AS m FROM deals d JOIN dim hist ON hist.broker = d.broker AND CAST(received_date AS TIMESTAMP) >= hist.valid_from AND CAST(received_date AS TIMESTAMP) < hist.valid_to JOIN dim cur ON cur.broker = hist.broker AND cur.valid_to = TIMESTAMP '9999-12-31'),
 r AS (SELECT broker, m, m - row_number() OVER (PARTITION BY broker ORDER BY m) AS g FROM m),
 i AS (SELECT broker, min(m) AS first, max(m) AS last, count(*) AS months FROM r GROUP BY broker, g),
 b AS (SELECT max(m) AS upto FROM m)
@@ -254,7 +256,10 @@ SELECT broker, make_date(first // 12, first % 12 + 1, 1) AS first_month, make_da
 FROM i, b ORDER BY months DESC, broker, first LIMIT 20"""
 )
 def q12_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = deals(spark, sf_dir).select("broker", (F.year("received_date") * 12 + F.month("received_date") - 1).alias("m"))
+    """Months without a gap, by person: from a deal's version to who that is today before the islands are made, so that a new version is no gap."""
+    fact, dim = by_version(spark, sf_dir)
+    today = relational.current_of_version(fact.drop("broker"), dim, "broker_sk", "broker", ["broker"])
+    m = today.select("broker", (F.year("received_date") * 12 + F.month("received_date") - 1).alias("m"))
     at = m.agg(F.max("m").alias("at"))
     i = relational.islands(m, ["broker"], "m").withColumn("streaks", F.count("*").over(Window.partitionBy("broker")))
     date = lambda c: F.make_date(F.floor(F.col(c) / 12).cast("int"), (F.col(c) % 12 + 1).cast("int"), F.lit(1))
@@ -274,9 +279,9 @@ def q13_tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "region").select(node("R", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("up"))
     e = e.union(load(spark, sf_dir, "nation").select(node("N", "n_nationkey"), node("R", "n_regionkey"))).union(load(spark, sf_dir, "supplier").select(node("S", "s_suppkey"), node("N", "s_nationkey")))
     own = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("value")).select(node("S", "l_suppkey").alias("node"), "value")
-    t = relational.tree_paths(e, "node", "up").join(own, "node", "left").withColumn("value", F.coalesce("value", F.lit(0)).cast("decimal(28,2)"))
+    t = kept(relational.tree_paths(e, "node", "up").join(own, "node", "left").withColumn("value", F.coalesce("value", F.lit(0)).cast("decimal(28,2)")))  # the recursion runs once
     group = t.groupBy("root").agg(F.sum("value").cast("decimal(28,2)").alias("group_value"), F.count("*").alias("group_nodes"))
-    return t.join(F.broadcast(group), "root").select("root", "node", "depth", F.array_join("path", ">").alias("path"), F.col("value").alias("own_value"), "group_value", "group_nodes", F.round(F.col("value").cast("double") / F.nullif(F.col("group_value").cast("double"), F.lit(0.0)), 6).alias("share")).orderBy(F.desc("group_value"), "root", "depth", F.desc("own_value"), "node")
+    return t.join(group, "root").select("root", "node", "depth", F.array_join("path", ">").alias("path"), F.col("value").alias("own_value"), "group_value", "group_nodes", F.round(F.col("value").cast("double") / F.nullif(F.col("group_value").cast("double"), F.lit(0.0)), 6).alias("share")).orderBy(F.desc("group_value"), "root", "depth", F.desc("own_value"), "node")
 
 
 #: Customers by month, with the priority that most of the month's orders have: a full snapshot of what is known then.
@@ -295,20 +300,29 @@ def broker_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scd2.versions(broker_snapshots(spark, sf_dir), "broker", "month", ["attribute"], "line")
 
 
+def by_version(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Deals with the key of the broker's version at receipt (broker_sk), and the dimension."""
+    dim = kept(scd2.with_keys(kept(broker_dim(spark, sf_dir)), "broker", "broker_sk"))
+    d = deals(spark, sf_dir).withColumn("at", F.col("received_date").cast("timestamp_ntz"))
+    return relational.point_in_time(d, dim, "broker", "broker", "at", "broker_sk").filter("broker_sk != -1"), dim
+
+
+#: An agency is what a broker's version says, with the branch that the broker is of.
 @query(
     f"""WITH {DEALS_SQL}, {SNAPSHOT_SQL},
-f AS (SELECT deal, d.broker, value, dim.attribute AS was, cur.attribute AS now FROM deals d JOIN dim ON dim.broker = d.broker AND CAST(received_date AS TIMESTAMP) >= dim.valid_from AND CAST(received_date AS TIMESTAMP) < dim.valid_to JOIN dim cur ON cur.broker = d.broker AND cur.valid_to = TIMESTAMP '9999-12-31' WHERE is_won),
+f AS (SELECT deal, d.broker, value, dim.attribute || ' ' || CAST(d.broker % 7 AS VARCHAR) AS was, cur.attribute || ' ' || CAST(d.broker % 7 AS VARCHAR) AS now FROM deals d JOIN dim ON dim.broker = d.broker AND CAST(received_date AS TIMESTAMP) >= dim.valid_from AND CAST(received_date AS TIMESTAMP) < dim.valid_to JOIN dim cur ON cur.broker = d.broker AND cur.valid_to = TIMESTAMP '9999-12-31' WHERE is_won),
 w AS (SELECT was AS attribute, count(*) AS n, sum(value) AS v FROM f GROUP BY 1), i AS (SELECT now AS attribute, count(*) AS n, sum(value) AS v FROM f GROUP BY 1)
 SELECT coalesce(w.attribute, i.attribute) AS attribute, coalesce(w.n, 0) AS deals_as_was, coalesce(i.n, 0) AS deals_as_is, CAST(coalesce(w.v, 0) AS DECIMAL(28,2)) AS value_as_was, CAST(coalesce(i.v, 0) AS DECIMAL(28,2)) AS value_as_is, coalesce(i.n, 0) - coalesce(w.n, 0) AS deals_delta, CAST(coalesce(i.v, 0) - coalesce(w.v, 0) AS DECIMAL(28,2)) AS value_delta
 FROM w FULL JOIN i ON w.attribute = i.attribute ORDER BY abs(coalesce(i.v, 0) - coalesce(w.v, 0)) DESC, 1 LIMIT 15"""
 )
 def q14_as_was(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Won deals by what their broker was at receipt and by what it is now."""
-    dim = kept(scd2.with_keys(kept(broker_dim(spark, sf_dir)), "broker", "broker_sk"))  # read four times
+    """Won deals by the agency that their broker was of at receipt and by today's. Attributes come along with the version's key, and today's by one more join."""
+    dim = kept(broker_dim(spark, sf_dir)).withColumn("broker_sk", F.xxhash64("broker", "valid_from"))  # one build, read twice; keys only tell that a version was found
     won = deals(spark, sf_dir).filter("is_won").withColumn("at", F.col("received_date").cast("timestamp_ntz"))
-    fact = relational.point_in_time(won, dim, "broker", "broker", "at", "broker_sk").filter("broker_sk != -1")
-    was = fact.join(dim.select("broker_sk", F.col("attribute").alias("was")), "broker_sk")
-    both = relational.current_of_version(was.drop("broker"), dim, "broker_sk", "broker", ["attribute"]).withColumnRenamed("attribute", "now")
+    fact = relational.point_in_time(won, dim, "broker", "broker", "at", "broker_sk", take={"__was": "attribute", "__person": "broker"}).filter("__person is not null")
+    today = dim.filter("is_current").select(F.col("broker").alias("__today"), F.col("attribute").alias("__now"))
+    branch = F.concat(F.lit(" "), (F.col("__person") % 7).cast("string"))
+    both = fact.join(today, F.col("__person") == F.col("__today")).select("value", F.concat("__was", branch).alias("was"), F.concat("__now", branch).alias("now"))
     side = lambda c, n, v: both.groupBy(F.col(c).alias("attribute")).agg(F.count("*").alias(n), F.sum("value").alias(v))
     j = side("was", "deals_as_was", "value_as_was").join(side("now", "deals_as_is", "value_as_is"), "attribute", "full").fillna(0)
     money = lambda c: F.col(c).cast("decimal(28,2)").alias(c)

@@ -28,7 +28,7 @@ def scd2_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What tells order lines apart, in DuckDB: line numbers repeat within an order.
-LINE_SQL = "(CAST(l_orderkey AS HUGEINT) * 100000000000000000000000 + CAST(l_linenumber AS HUGEINT) * 1000000000000000000000 + CAST(l_partkey AS HUGEINT) * 10000000000 + CAST(l_suppkey AS HUGEINT))"
+LINE_SQL = "(CAST(l_orderkey AS HUGEINT) * 10000000000000000000000000 + CAST(l_linenumber AS HUGEINT) * 10000000000000000000000 + CAST(l_partkey AS HUGEINT) * 10000000000 + CAST(l_suppkey AS HUGEINT))"
 PART_SQL = f"""feed AS (SELECT l_partkey AS part, CAST(l_shipdate AS DATE) AS day, l_returnflag AS flag, row_number() OVER (PARTITION BY l_partkey, CAST(l_shipdate AS DATE) ORDER BY {LINE_SQL}) AS rn FROM lineitem),
 chg AS (SELECT part, day, flag, lag(flag) OVER (PARTITION BY part ORDER BY day) AS before FROM feed WHERE rn = 1),
 pdim AS (SELECT part, flag, CAST(day AS TIMESTAMP) AS valid_from, coalesce(lead(CAST(day AS TIMESTAMP)) OVER (PARTITION BY part ORDER BY day), TIMESTAMP '9999-12-31') AS valid_to FROM chg WHERE before IS DISTINCT FROM flag)"""
@@ -36,7 +36,7 @@ pdim AS (SELECT part, flag, CAST(day AS TIMESTAMP) AS valid_from, coalesce(lead(
 
 def line_key() -> F.Column:
     """What tells order lines apart, as one number of up to 38 digits: orders and parts below 10^12, suppliers below 10^10."""
-    return F.expr("cast(cast(l_orderkey as decimal(12,0)) * 100000000000000000000000BD + cast(l_linenumber as decimal(3,0)) * 1000000000000000000000BD + cast(l_partkey as decimal(12,0)) * 10000000000BD + cast(l_suppkey as decimal(10,0)) as decimal(38,0))")
+    return F.expr("cast(cast(l_orderkey as decimal(12,0)) * 10000000000000000000000000BD + cast(l_linenumber as decimal(3,0)) * 10000000000000000000000BD + cast(l_partkey as decimal(12,0)) * 10000000000BD + cast(l_suppkey as decimal(10,0)) as decimal(38,0))")
 
 
 def part_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

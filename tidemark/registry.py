@@ -11,12 +11,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None):
-    """Registers a function of (spark, sf_dir) under its own name."""
+_LATER: dict[str, Callable[[], str]] = {}
+
+
+def query(oracle: str | Callable[[], str] | None = None):
+    """Registers a function of (spark, sf_dir) under its own name. A twin that is made of texts further down in its module is given as a function."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if oracle:
+        if callable(oracle):
+            _LATER[f.__name__] = oracle
+        elif oracle:
             ORACLES[f.__name__] = oracle
         return f
 
@@ -24,7 +29,9 @@ def query(oracle: str | None = None):
 
 
 def load_all() -> None:
-    from tidemark.plans import analytics, composite, performance, quality, scalars  # noqa: F401
+    from tidemark.plans import analytics, composite, performance, probes, quality, scalars  # noqa: F401
+
+    ORACLES.update({name: make() for name, make in _LATER.items()})
 
 
 load_all()
