@@ -23,42 +23,34 @@ from pyspark.sql import functions as F
 from .common import map_batches, remainder, texts
 
 #: Bounds of the sample of labelled rows: examples of each class, the first by hash of their id, among those of at most so many bytes of text.
-TOXIC_EXAMPLES, CLEAN_EXAMPLES, LONGEST_EXAMPLE = 1000, 1500, 1 << 17
+TOXIC_EXAMPLES, CLEAN_EXAMPLES, LONGEST_EXAMPLE = 800, 1200, 1 << 17
 #: A word's factor grows from the least to 1 more where the classes' document frequencies differ by 4 to 8 standard errors, in either direction.
 LEAST_FACTOR, FROM_Z, TO_Z = 0.2, 4.0, 8.0
 NEIGHBOURS, BLOCK = 15, 64
 
 
-def bare(word: str) -> str:
-    """Lower case, from the first letter or digit to the last; empty if it has none."""
-    if not word.isalnum():
-        first = next((k for k, c in enumerate(word) if c.isalnum()), len(word))
-        last = next((k for k in range(len(word), first, -1) if word[k - 1].isalnum()), first)
-        word = word[first:last]
-    word = word.lower()
-    return word if word.isascii() else unicodedata.normalize("NFC", word)
+def inner(word: str) -> str:
+    """From the first letter or digit to the last; empty if there is none."""
+    first = next((k for k, c in enumerate(word) if c.isalnum()), len(word))
+    last = next((k for k in range(len(word), first, -1) if word[k - 1].isalnum()), first)
+    return word[first:last]
 
 
-class Words(dict):
-    """The number of a word's term, -1 for none; shorter words are kept as they stand in texts while there are fewer than 400,000."""
+def split(text: str) -> list[str]:
+    """Words in lower case, as they stand."""
+    return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
 
-    def __init__(self, known: dict[str, int]):
-        self.known = known
 
-    def __missing__(self, word: str) -> int:
-        out = self.known.get(bare(word), -1)
-        if len(word) <= 64:
-            if len(self) > 400_000:
-                self.clear()
-            self[word] = out
-        return out
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A text's terms and how often it has each."""
-        words = text.split()
-        found, counts = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
-        first = int(len(found) > 0 and found[0] < 0)
-        return found[first:], counts[first:]
+def count(text: str, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's terms and how often it has each. A word that isn't known as it stands may be without the signs around it."""
+    words = split(text)
+    found = list(map(number.get, words))
+    for k, x in enumerate(found):
+        if x is None:
+            found[k] = -1 if words[k].isalnum() else number.get(inner(words[k]), -1)
+    terms, counts = np.unique(np.fromiter(found, np.int64, len(found)), return_counts=True)
+    first = int(len(terms) > 0 and terms[0] < 0)
+    return terms[first:], counts[first:]
 
 
 @dataclass
@@ -222,10 +214,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
         for batch in batches:
             found = []
             for text in texts(batch.column(2)):
-                own: Counter = Counter()
-                for word, n in Counter(text.split()).items():
-                    if t := bare(word):
-                        own[t] += n
+                own = Counter(w if w.isalnum() else inner(w) for w in split(text))
+                own.pop("", None)
                 found.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(f.keys()) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["id", "label", "terms", "counts"])
 
@@ -236,11 +226,11 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
     known = spark.sparkContext.broadcast(number)  # words of at most so many examples of bounded length
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, found = Words(known.value), 0, np.zeros(len(known.value), np.int64)
+        n, found = 0, np.zeros(len(known.value), np.int64)
         for batch in batches:
             for text in texts(batch.column(0)):
                 n += 1
-                found[words.count(text)[0]] += 1
+                found[count(text, known.value)[0]] += 1
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(found[some], n), pa.int64())], ["term", "n"])
 
@@ -280,9 +270,9 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column:
     rows = docs.select(F.col(id_column).alias("id"), (remainder(id_column, held_out_divisor) == 0).alias("held_out"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(index.laid_out().number)
+        number = index.laid_out().number
         for batch in batches:
-            found = [index.score(words.count(t)) for t in texts(batch.column(2))]
+            found = [index.score(count(t, number)) for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.string())], [id_column, "held_out", "score", "predicted", "evidence"])
 
     return map_batches(rows, run, f"{id_column} {kind}, held_out boolean, score double, predicted int, evidence string")
@@ -293,8 +283,8 @@ def drop_toxic(docs: DataFrame, index: Index, text_column: str = "text") -> Data
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(index.laid_out().number)
+        number = index.laid_out().number
         for batch in batches:
-            yield batch.filter(pa.array([index.score(words.count(t))[0] < 0.5 for t in texts(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([index.score(count(t, number))[0] < 0.5 for t in texts(batch.column(at))], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
