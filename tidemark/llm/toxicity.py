@@ -10,6 +10,7 @@ on the examples themselves, each left out of its own vote.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ NEIGHBOURS, BLOCK = 15, 64
 
 def inner(word: str) -> str:
     """From the first letter or digit to the last; empty if there is none."""
+    word = word.strip(string.punctuation)  # which is quick, and often all
+    if word.isalnum():
+        return word
     first = next((k for k, c in enumerate(word) if c.isalnum()), len(word))
     last = next((k for k in range(len(word), first, -1) if word[k - 1].isalnum()), first)
     return word[first:last]
