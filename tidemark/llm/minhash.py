@@ -187,12 +187,29 @@ def representatives(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return few.groupBy(key).agg(F.sort_array(F.collect_list("one")).alias("stand"))
 
 
+def tie_batch(batch: pa.RecordBatch, key: str, ties: list[list[int]]) -> pa.RecordBatch:
+    """(key, class, to, a, b) for each tie of each row, or one with nulls: the edge (a, b) is that of the class to its first tie, for the others one between
+    representatives, so that there are about as many edges as classes."""
+    cls = batch.column(1).to_pylist()
+    rows = [(k, to, own[0], cls[k] if j == 0 else to) for k, own in enumerate(ties) for j, to in enumerate(own)] + [(k, None, None, None) for k, own in enumerate(ties) if not own]
+    at, to, a, b = zip(*rows) if rows else ((),) * 4
+    place = pa.array(at, pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), *(pa.array(x, pa.int64()) for x in (to, a, b))], [key, "class", "to", "a", "b"])
+
+
 def tied_to_most(ties: DataFrame, key: str) -> DataFrame:
     """(key, class, tied): whether a class is tied to the representative of its key that has the most ties. ties: (key, class, to), to is null where there is none."""
     most = ties.filter("to is not null").groupBy(key, "to").agg(F.count("*").alias("n")).groupBy(key).agg(F.max(F.struct("n", "to"))["to"].alias("__most"))
     return ties.join(most, key, "left").groupBy(key, "class").agg(F.coalesce(F.max(F.col("to") == F.col("__most")), F.lit(False)).alias("tied"))
 
 
+def star(edges: DataFrame) -> DataFrame:
+    """The same connections with fewer edges, from (first, member) of many lists: each member with the least of its firsts, and that one with the others."""
+    least = edges.groupBy("b").agg(F.min("a").alias("least"))
+    spokes = least.select(F.col("least").alias("a"), "b").unionByName(edges.join(least, "b").select(F.col("least").alias("a"), F.col("a").alias("b")))
+    return spokes.filter("a != b").distinct()
+
+
 def candidate_forest(posted: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
     """(a, b): classes connected in some posting list. Signatures, a byte of each minimum, join lists of two classes or more only."""
     lengths = posted.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1")
@@ -205,13 +222,8 @@ def candidate_forest(posted: DataFrame, classes: DataFrame, matches: int, percen
         for batch in batches:
             cls, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             low = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(n), -1)
-            out: tuple[list, list] = ([], [])
-            for k, stand in enumerate(batch.column(4).to_pylist()):
-                tied = [x["class"] for x in stand if x["class"] == cls[k] or ((np.frombuffer(x["low"], np.uint8) == low[k]).sum() >= matches and 100 * min(x["n"], n[k]) >= percent * max(x["n"], n[k]))]
-                out[0].extend([k] * max(1, len(tied)))
-                out[1].extend(tied or [None])
-            at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out[1], pa.int64())], ["token", "class", "to"])
+            agrees = lambda x, k: x["class"] == cls[k] or ((np.frombuffer(x["low"], np.uint8) == low[k]).sum() >= matches and 100 * min(x["n"], n[k]) >= percent * max(x["n"], n[k]))  # noqa: B023, E731
+            yield tie_batch(batch, "token", [[x["class"] for x in stand if agrees(x, k)] for k, stand in enumerate(batch.column(4).to_pylist())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
@@ -230,14 +242,15 @@ def candidate_forest(posted: DataFrame, classes: DataFrame, matches: int, percen
     dealt, edges = short, None
     if long.limit(1).count():
         stand = representatives(long, "token", ["n", "low"])
-        tied = table(map_batches(long.join(stand, "token").select("token", "class", "n", "low", "stand"), tie, "token long, class long, to long"), "tied")
-        edges = tied.filter("to is not null and to != class").select(F.col("to").alias("a"), F.col("class").alias("b"))
+        tied = table(map_batches(long.join(stand, "token").select("token", "class", "n", "low", "stand"), tie, "token long, class long, to long, a long, b long"), "tied")
+        edges = tied.filter("a != b").select("a", "b")
         dealt = dealt.unionByName(deal(long.join(tied_to_most(tied, "token"), ["token", "class"]), "token", CHUNK, ["class", "n", "low"]))
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "class")
     found = map_batches(dealt, run, "a long, b long")
     if edges is not None:
         found = found.unionByName(edges)
-    return found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # written, since a star reads them twice
+    return star(table(found.filter("a != b").distinct(), "found"))
 
 
 def needed_filter(needed: DataFrame, bits: int) -> np.ndarray:
@@ -335,18 +348,15 @@ def confirm(sets: DataFrame, needed: DataFrame, percent: int) -> DataFrame:
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
-            out: tuple[list, list] = ([], [])
+            ties = []
             for k, stand in enumerate(batch.column(3).to_pylist()):
-                tied = []
+                ties.append([])
                 for x in stand:
                     other = np.frombuffer(x["shingles"], "<u8")
                     both = len(np.intersect1d(own[k], other, assume_unique=True))
                     if 100 * both >= percent * (len(own[k]) + len(other) - both):
-                        tied.append(x["class"])
-                out[0].extend([k] * max(1, len(tied)))
-                out[1].extend(tied or [None])
-            at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out[1], pa.int64())], ["label", "class", "to"])
+                        ties[-1].append(x["class"])
+            yield tie_batch(batch, "label", ties)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
@@ -362,8 +372,8 @@ def confirm(sets: DataFrame, needed: DataFrame, percent: int) -> DataFrame:
         wide = table(rows.filter(F.col("members") > 2 * BLOCK).select("label", "class", "shingles"), "wide")
         # few sets of each large label meet all of it
         stand = representatives(wide, "label", ["shingles"])
-        tied = table(map_batches(wide.join(stand, "label").select("label", "class", "shingles", "stand"), tie, "label long, class long, to long"), "tied")
-        edges = tied.filter("to is not null and to != class").select(F.col("to").alias("a"), F.col("class").alias("b"))
+        tied = table(map_batches(wide.join(stand, "label").select("label", "class", "shingles", "stand"), tie, "label long, class long, to long, a long, b long"), "tied")
+        edges = tied.filter("a != b").select("a", "b")
         dealt = dealt.unionByName(deal(wide.join(tied_to_most(tied, "label"), ["label", "class"]), "label", 8 * BLOCK, ["class", "shingles"]).select("label", "i", "j", "class", "side", "shingles"))
     dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "class")
     found = map_batches(dealt, run, "a long, b long")
