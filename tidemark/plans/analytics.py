@@ -300,11 +300,17 @@ def broker_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scd2.versions(broker_snapshots(spark, sf_dir), "broker", "month", ["attribute"], "line")
 
 
+_STORED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def by_version(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Deals with the key of the broker's version at receipt (broker_sk), and the dimension."""
-    dim = kept(scd2.with_keys(kept(broker_dim(spark, sf_dir)), "broker", "broker_sk"))
-    d = deals(spark, sf_dir).withColumn("at", F.col("received_date").cast("timestamp_ntz"))
-    return relational.point_in_time(d, dim, "broker", "broker", "at", "broker_sk").filter("broker_sk != -1"), dim
+    """Deals with the key of the broker's version at receipt (broker_sk), and the dimension: a fact and a dimension of the warehouse, built once in an application and read by several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        dim = kept(scd2.with_keys(kept(broker_dim(spark, sf_dir)), "broker", "broker_sk"))
+        d = deals(spark, sf_dir).withColumn("at", F.col("received_date").cast("timestamp_ntz"))
+        _STORED[key] = kept(relational.point_in_time(d, dim, "broker", "broker", "at", "broker_sk").filter("broker_sk != -1")), dim
+    return _STORED[key]
 
 
 #: An agency is what a broker's version says, with the branch that the broker is of.
@@ -316,10 +322,9 @@ SELECT coalesce(w.attribute, i.attribute) AS attribute, coalesce(w.n, 0) AS deal
 FROM w FULL JOIN i ON w.attribute = i.attribute ORDER BY abs(coalesce(i.v, 0) - coalesce(w.v, 0)) DESC, 1 LIMIT 15"""
 )
 def q14_as_was(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Won deals by the agency that their broker was of at receipt and by today's. Attributes come along with the version's key, and today's by one more join."""
-    dim = kept(broker_dim(spark, sf_dir)).withColumn("broker_sk", F.xxhash64("broker", "valid_from"))  # one build, read twice; keys only tell that a version was found
-    won = deals(spark, sf_dir).filter("is_won").withColumn("at", F.col("received_date").cast("timestamp_ntz"))
-    fact = relational.point_in_time(won, dim, "broker", "broker", "at", "broker_sk", take={"__was": "attribute", "__person": "broker"}).filter("__person is not null")
+    """Won deals by the agency that their broker was of at receipt and by today's. From the version's key to the person, and from there to today's version."""
+    fact, dim = by_version(spark, sf_dir)
+    fact = fact.filter("is_won").select("broker_sk", "value").join(dim.select("broker_sk", F.col("attribute").alias("__was"), F.col("broker").alias("__person")), "broker_sk")
     today = dim.filter("is_current").select(F.col("broker").alias("__today"), F.col("attribute").alias("__now"))
     branch = F.concat(F.lit(" "), (F.col("__person") % 7).cast("string"))
     both = fact.join(today, F.col("__person") == F.col("__today")).select("value", F.concat("__was", branch).alias("was"), F.concat("__now", branch).alias("now"))
