@@ -105,6 +105,16 @@ def test_query(spark, monkeypatch):
     assert close(listed(small), brute(docs))
 
 
+def test_every_step_sees_all_words(spark, pieces, monkeypatch):
+    monkeypatch.setattr(lattice, "STEPS", 1)
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "gamma betagamma " + "x" * 300)], "doc_id long, text string")
+    model = lattice.learn(docs, lattice.F.lit(True), VOCABULARY)
+    words = [b"alpha", b"beta", b"gamma", b"betagamma", b"x" * 300]
+    once = lattice.expected_counts(pieces, *pieces.start(1)[:1], words, np.ones((5, 1)))
+    scores, stop = lattice.renew(pieces, once, np.array([5.0]))
+    assert np.allclose(model.scores[:-1], scores[:-1]) and np.allclose(model.stop, stop)
+
+
 def test_probabilities_sum_to_at_most_one(spark, pieces):
     df = spark.createDataFrame([(k, "ab a b ab ba abb", "x" if k % 2 else None) for k in range(50)], "doc_id long, text string, lang string")
     words = ["".join(w).encode() for n in range(1, 7) for w in __import__("itertools").product("ab", repeat=n)]

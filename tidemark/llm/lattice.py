@@ -4,8 +4,8 @@ A text is a sequence of words and an end. A word is spelled by pieces of an exis
 that go on, a stop. The lattice of a word has an arc for every piece that fits somewhere in it; its probability is the
 sum over all ways through the lattice, by a forward recursion in log space. The text's is the product over its words and the end.
 
-The vocabulary isn't learned, its unigram scores are: they start from the vocabulary's own order, settle on a bounded sample of the
-corpus's words and then take one expectation step over all of them. (None of the public vocabularies here has unigram scores:
+The vocabulary isn't learned, its unigram scores are: they start from the vocabulary's own order and take expectation steps, each over all
+words of the training texts. (None of the public vocabularies here has unigram scores:
 the one with scores has ranks of merges.)
 
 Texts of different languages spell words differently, so scores are kept for each language of the training texts. A text's
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .bpe import encoder
 from .common import map_batches, raw, remainder, table
 
-#: Bytes of pieces that words are tried for together (words that hold a longer one are spelled one by one), words in the head (a bound), words that the driver's own steps see (a bound, the first by hash), and the number of these steps.
-LONGEST, HEAD, WARM, STEPS = 16, 1 << 18, 40_000, 12
+#: Bytes of pieces that words are tried for together (words that hold a longer one are spelled one by one), words in the head (a bound; the others are joined), and the number of expectation steps.
+LONGEST, HEAD, STEPS = 16, 1 << 18, 6
 #: Languages whose spellings are learned apart (the most frequent ones); all others are one more.
 LANGUAGES = 8
 #: Words above this many bytes are spelled one by one, in this many places at a time.
@@ -233,8 +233,20 @@ def word_scores(pieces: Pieces, scores: np.ndarray, stop: np.ndarray, words: lis
 def expected_counts(pieces: Pieces, scores: np.ndarray, words: list[bytes], weights: np.ndarray) -> np.ndarray:
     """How often each piece is expected in these words, over all segmentations by their likelihood; weights say how often a group (column) has a word."""
     groups = scores.shape[1]
-    out = np.zeros((len(pieces.pieces) + 1, groups))
+    out = np.zeros((len(pieces.pieces), groups))
     parts, single = by_length(pieces, words)
+    numbers: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+
+    def add() -> None:
+        if numbers:
+            all_numbers, all_counts = np.concatenate(numbers), np.concatenate(counts)
+            for g in range(groups):
+                out[:, g] += np.bincount(all_numbers, all_counts[:, g], len(out))
+            numbers.clear()
+            counts.clear()
+
+    held = 0
     for part in parts:
         group = [words[k] for k in part]
         lattice, forward = [], [np.zeros((len(group), groups))]
@@ -251,9 +263,14 @@ def expected_counts(pieces: Pieces, scores: np.ndarray, words: list[bytes], weig
                     backward[b].append(backward[end] + scores[number])
         for end, found in enumerate(lattice, 1):
             for b, number in found:
-                likely = np.exp(forward[b] + scores[number] + backward[end] - forward[-1]) * weights[part]
-                np.add.at(out, number + 1, likely)  # row 0 is that of no piece
-    out = out[1:]
+                some = np.flatnonzero(number >= 0)
+                numbers.append(number[some])
+                counts.append(np.exp(forward[b][some] + scores[number[some]] + backward[end][some] - forward[-1][some]) * weights[part[some]])
+                held += len(some)
+        if held > 500_000:
+            add()
+            held = 0
+    add()
     for k in single:
         n = len(words[k]) + 1
         begin, size, number = all_arcs(pieces, words[k])
@@ -394,21 +411,20 @@ def learn(docs: DataFrame, train: Column, vocabulary: str, text_column: str = "t
     words, c = head["word"].to_pylist(), head["c"].to_numpy()
     pieces = pieces_of(vocabulary)
     scores, stop = pieces.start(groups)
-    warm = counts.filter((F.col("c") > 0) & word & (F.octet_length("word") <= LONG)).orderBy(F.xxhash64("word"), "word").limit(WARM).toArrow()
-    warm_words, has = warm["word"].to_pylist(), (matrix(warm)[:, 1:] > 0).astype(float)
-    for _ in range(STEPS if warm_words else 0):
-        scores, stop = renew(pieces, expected_counts(pieces, scores, warm_words, has), has.sum(0))
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = pieces_of(vocabulary)
-        out = np.zeros((len(mine.pieces), groups))
-        for part in gathered(batches):
-            out += expected_counts(mine, scores, part["word"].to_pylist(), (matrix(part)[:, 1:] > 0).astype(float))
-        some, column = np.nonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(column, pa.int64()), pa.array(out[some, column], pa.float64())], ["piece", "group", "n"])
-
-    found = map_batches(counts.filter((F.col("c") > 0) & word), expect, "piece long, group long, n double").groupBy("piece", "group").agg(F.sum("n").alias("n")).toArrow()
-    if found.num_rows:
+    seen = counts.filter((F.col("c") > 0) & word)
+    for _ in range(STEPS):
+
+        def expect(batches: Iterator[pa.RecordBatch], scores=scores, stop=stop) -> Iterator[pa.RecordBatch]:
+            mine = pieces_of(vocabulary)
+            out = np.zeros((len(mine.pieces), groups))
+            for part in gathered(batches):
+                out += expected_counts(mine, scores, part["word"].to_pylist(), (matrix(part)[:, 1:] > 0).astype(float))
+            some, column = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(column, pa.int64()), pa.array(out[some, column], pa.float64())], ["piece", "group", "n"])
+
+        found = map_batches(seen, expect, "piece long, group long, n double").groupBy("piece", "group").agg(F.sum("n").alias("n")).toArrow()
+        if not found.num_rows:
+            break
         expected = np.zeros((len(pieces.pieces), groups))
         expected[found["piece"].to_numpy(), found["group"].to_numpy()] = found["n"].to_numpy()
         scores, stop = renew(pieces, expected, group_types)
