@@ -72,6 +72,36 @@ def test_expected_counts_are_the_gradient(pieces):
         assert abs(sum(e * len(p) for e, p in zip(expected[:, g], pieces.pieces)) - sum(m * (len(w) + 1) for m, w in zip(weights[:, g], words))) < 1e-6
 
 
+def test_words_that_begin_alike_share_their_work(pieces, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [b"inter" + bytes(rng.choice(np.frombuffer(b"aeinrst", np.uint8), 5)) for _ in range(3000)]
+    weights = np.eye(4)[rng.integers(0, 4, len(words))]
+    scores = random_scores(pieces, 4, groups=4)
+    counted, exp = [0], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: counted.__setitem__(0, counted[0] + np.size(x)) or exp(x, *a, **k))
+    got = lattice.expected_counts(pieces, scores, words, weights)
+    monkeypatch.undo()
+    # a way to a place is weighed once for each group that has a word through it, not for each word and group
+    known = set(pieces.pieces)
+    begun = [{(b" " + w)[:k] for w, own in zip(words, weights[:, g]) if own for k in range(1, len(w) + 2)} for g in range(4)]
+    assert counted[0] <= sum(b[k:] in known for places in begun for b in places for k in range(len(b)))
+    assert abs(sum(e * len(p) for e, p in zip(got.sum(1), pieces.pieces)) - sum(len(w) + 1 for w in words)) < 1e-6
+
+
+def test_tries_give_what_words_alone_give(pieces, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.choice(np.frombuffer(b"abenrt-\xc3\xa9", np.uint8), n)) for n in rng.integers(1, 30, 60)]
+    words += [b"responsibilities", b"responsibility", b"-" * 128, b"a" + b"-" * 70, b"n" * lattice.LONG, b"n" * (lattice.LONG + 1), words[0]]
+    weights = rng.integers(0, 3, (len(words), 2)) / 2
+    scores, stop = random_scores(pieces, 6), np.array([-1.0, -2.0])
+    alone = sum(lattice.expected_counts(pieces, scores, [w], weights[k : k + 1]) for k, w in enumerate(words))
+    exact = [[plain(pieces, scores[:, g], w) + stop[g] for g in range(2)] for w in words[::3] + words[-7:]]
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(lattice, "TRIE", size)
+        assert np.allclose(lattice.expected_counts(pieces, scores, words, weights), alone)
+        assert np.allclose(lattice.word_scores(pieces, scores, stop, words[::3] + words[-7:]), exact)
+
+
 def brute(docs):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     words = lambda t: (t or "").encode().lower().split() + [b""]

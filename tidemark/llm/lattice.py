@@ -4,6 +4,9 @@ A text is a sequence of words and an end. A word is spelled by pieces of an exis
 that go on, a stop. The lattice of a word has an arc for every piece that fits somewhere in it; its probability is the
 sum over all ways through the lattice, by a forward recursion in log space. The text's is the product over its words and the end.
 
+Words that begin alike share the lattice of their beginning: words are sorted, each beginning is a place of a trie and has its arcs
+and its forward sum once. An expectation step goes back through the same trie, for each language over the words that it has.
+
 The vocabulary isn't learned, its unigram scores are: they start from the vocabulary's own order and take expectation steps, each over all
 words of the training texts. (None of the public vocabularies here has unigram scores:
 the one with scores has ranks of merges.)
@@ -34,12 +37,12 @@ from pyspark.sql import functions as F
 from .bpe import encoder
 from .common import map_batches, raw, remainder, table
 
-#: Bytes of pieces that words are tried for together (words that hold a longer one are spelled one by one), words in the head (a bound; the others are joined), and the number of expectation steps.
+#: Bytes of pieces that long words are tried for (those that hold a longer one are tried for all), words in the head (a bound; the others are joined), and the number of expectation steps.
 LONGEST, HEAD, STEPS = 16, 1 << 18, 6
 #: Languages whose spellings are learned apart (the most frequent ones); all others are one more.
 LANGUAGES = 8
-#: Words above this many bytes are spelled one by one, in this many places at a time.
-LONG, SIDE = 200, 1024
+#: Words above this many bytes are spelled one by one, in this many places at a time; the others in tries of about so many bytes of words.
+LONG, SIDE, TRIE = 200, 1024, 1 << 20
 #: Added to every piece's expected count.
 PRIOR = 0.05
 _B, _U = np.uint64(0x100000001B3), np.uint64
@@ -47,7 +50,11 @@ _MIX = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9),
 
 
 class Pieces:
-    """Pieces that lower-cased text can have, found by a hash of their bytes: all single bytes, and those that hold white space at the front only."""
+    """Pieces that lower-cased text can have: all single bytes, and those that hold white space at the front only.
+
+    They are found by a hash of their bytes, or byte by byte: `steps[state, byte]` is the next state or -1, `number[state]` the piece that
+    ends there or -1, and states that go on come first, with the beginning as 0.
+    """
 
     def __init__(self, vocabulary: str):
         spelled = sorted(encoder(vocabulary).ids.items(), key=lambda x: x[1])
@@ -68,6 +75,22 @@ class Pieces:
             held[slot[first]], ids[slot[first]] = keys[left[first]], left[first]
             self.tables.append((mix, _U(64 - bits), held, ids))
             left = np.delete(left, first)
+        states = {b"": 0}
+        before, byte = [0], [0]
+        for b in self.pieces:
+            for k in range(1, len(b) + 1):
+                if b[:k] not in states:
+                    states[b[:k]] = len(states)
+                    before.append(states[b[: k - 1]])
+                    byte.append(b[k - 1])
+        goes = np.zeros(len(states), bool)
+        goes[before] = True
+        place = np.empty(len(states), np.int64)
+        place[np.argsort(~goes, kind="stable")] = np.arange(len(states))
+        self.number = np.full(len(states), -1, np.int32)
+        self.number[place[[states[b] for b in self.pieces]]] = np.arange(len(self.pieces))
+        self.steps = np.full((int(goes.sum()), 256), -1, np.int32)
+        self.steps[place[before[1:]], byte[1:]] = place[1:]
 
     @staticmethod
     def hash(b: bytes) -> int:
@@ -84,10 +107,6 @@ class Pieces:
             out = np.where((held[slot] == h) & (out < 0), ids[slot], out)
         return out
 
-    def alone(self, word: bytes) -> bool:
-        """Whether a word is spelled by itself, not among others of its length."""
-        return len(word) > LONG or len(word) >= LONGEST and self.long.search(b" " + word) is not None
-
     def start(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores from the vocabulary's order, by Zipf's law: merges are listed by frequency."""
         return renew(self, np.repeat(1e6 / (np.arange(len(self.pieces)) + 50.0)[:, None], groups, 1), np.full(groups, 1e6))
@@ -114,41 +133,88 @@ def pieces_of(vocabulary: str) -> Pieces:
     return _PIECES[vocabulary]
 
 
-def by_length(pieces: Pieces, words: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
-    """Places of words of equal length, in parts of bounded work, and those of words that are spelled one by one."""
+class Trie:
+    """The beginnings of sorted words, each once, and the pieces that may stand before its end.
+
+    Place 0 is before a blank in front of all words, 1 behind it; places are numbered by length. `levels` has for each length the first
+    place and, of the pieces that end there, the end (counted from the first place, ascending), the begin and the number; `at` is where a word ends.
+    """
+
+    def __init__(self, pieces: Pieces, words: list[bytes]):
+        x = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        offsets = np.cumsum(sizes) - sizes
+        first, self.at, left = 1, np.zeros(len(words), np.int64), np.arange(len(words))
+        self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        # what may go on behind each place of the last length: begin and state, with cuts between places
+        begin, state, cuts = np.zeros(1, np.int64), np.zeros(1, np.int32), np.array([0, 1])
+        last = 0
+        for size in range(1, int(sizes.max(initial=0)) + 2):
+            left = left[sizes[left] >= size - 1]
+            byte = x[offsets[left] + size - 2] if size > 1 else np.full(len(left), 32, np.uint8)
+            before = self.at[left]
+            new = np.ones(len(left), bool)
+            new[1:] = (before[1:] != before[:-1]) | (byte[1:] != byte[:-1])
+            self.at[left] = first - 1 + np.cumsum(new)
+            before, byte = before[new] - last, byte[new]
+            n = len(before)
+            many = cuts[before + 1] - cuts[before]
+            end = np.repeat(np.arange(n), many)
+            which = np.arange(len(end)) + np.repeat(cuts[before] - (np.cumsum(many) - many), many)
+            state = pieces.steps[state[which], byte[end]]
+            some = np.flatnonzero(state >= 0)
+            end, begin, state = end[some], begin[which[some]], state[some]
+            number = pieces.number[state]
+            some = np.flatnonzero(number >= 0)
+            self.levels.append((first, end[some], begin[some], number[some]))
+            # pieces that go on, and behind them those that begin here
+            some = np.flatnonzero(state < len(pieces.steps))
+            end = end[some]
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=n) + 1)])
+            old = begin[some], state[some]
+            begin, state = np.empty(cuts[-1], np.int64), np.zeros(cuts[-1], np.int32)
+            begin[np.arange(len(some)) + end], state[np.arange(len(some)) + end] = old
+            begin[cuts[1:] - 1] = np.arange(first, first + n)
+            last, first = first, first + n
+        self.places = first
+
+    def forward(self, scores: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Natural log of the sum over ways to each place, and how likely each piece is the last one there."""
+        f, likely = np.zeros(self.places), []
+        for first, end, begin, number in self.levels:
+            cuts = np.flatnonzero(np.diff(end, prepend=-1))
+            t = f[begin] + scores[number]
+            top = np.maximum.reduceat(t, cuts)
+            t = np.exp(t - top[end])
+            total = np.add.reduceat(t, cuts)
+            f[first : first + len(cuts)] = top + np.log(total)
+            likely.append(t / total[end])
+        return f, likely
+
+    def expected(self, scores: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """How often each piece is expected: from the ends back, a place's weight goes to the pieces that may be last there."""
+        held = np.bincount(self.at, weights, self.places)
+        _, likely = self.forward(scores)
+        for (first, end, begin, _), p in zip(reversed(self.levels), reversed(likely)):
+            p *= held[first + end]
+            np.add.at(held, begin, p)
+        return np.bincount(np.concatenate([x[3] for x in self.levels]), np.concatenate(likely), len(scores) - 1)
+
+
+def in_order(words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Sorted places of words, and those of words that are spelled one by one."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    single = [k for k in np.flatnonzero(sizes >= LONGEST).tolist() if pieces.alone(words[k])]
-    together = np.delete(np.arange(len(words)), single)
-    order = together[np.argsort(sizes[together], kind="stable")]
-    parts = []
-    for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
-        most = max(1, 400_000 // max(1, int(sizes[part[0]]) * LONGEST))
-        parts += [part[k : k + most] for k in range(0, len(part), most)]
-    return parts, single
-
-
-def log_sum(terms: list[np.ndarray]) -> np.ndarray:
-    t = np.stack(terms)
-    top = t.max(0)
-    return top + np.log(np.exp(t - top).sum(0))
-
-
-def arcs(pieces: Pieces, words: list[bytes]) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """For each end, the pieces that may stand before it: (begin, number or -1), for words of one length with a blank in front."""
-    x = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).astype(np.uint64)
-    x = np.concatenate([np.full((len(words), 1), 32, np.uint64), x], 1)
-    powers = [_U(pow(int(_B), k, 1 << 64)) for k in range(LONGEST + 1)]
-    h = np.zeros(len(words), np.uint64)
-    recent = [(0, h)]
-    for end in range(1, x.shape[1] + 1):
-        h = h * _B + x[:, end - 1] + _U(1)
-        found = []
-        for begin, g in recent:
-            number = pieces.find(h - g * powers[end - begin])
-            if (number >= 0).any():
-                found.append((begin, number))
-        recent = [*recent, (end, h)][-LONGEST:]
-        yield found
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    return order[sizes[order] <= LONG], np.flatnonzero(sizes > LONG).tolist()
+
+
+def tries(pieces: Pieces, words: list[bytes], order: np.ndarray) -> Iterator[tuple[np.ndarray, Trie]]:
+    """Parts of sorted places of words, and their tries."""
+    if len(order):
+        own = [words[k] for k in order.tolist()]
+        cuts = np.flatnonzero(np.diff(np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) // TRIE)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
+            yield order[begin:end], Trie(pieces, own[begin:end])
 
 
 def all_arcs(pieces: Pieces, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,14 +282,10 @@ def word_scores(pieces: Pieces, scores: np.ndarray, stop: np.ndarray, words: lis
     """Natural log of the probability that a word is spelled so, over all segmentations; a column for each group."""
     groups = scores.shape[1]
     out = np.zeros((len(words), groups))
-    parts, single = by_length(pieces, words)
-    for part in parts:
-        group = [words[k] for k in part]
-        forward = {0: np.zeros((len(group), groups))}
-        for end, found in enumerate(arcs(pieces, group), 1):
-            forward[end] = log_sum([forward[b] + scores[number] for b, number in found])
-            forward.pop(end - LONGEST, None)
-        out[part] = forward[max(forward)]
+    order, single = in_order(words)
+    for part, trie in tries(pieces, words, order):
+        for g in range(groups):
+            out[part, g] = trie.forward(np.ascontiguousarray(scores[:, g]))[0][trie.at]
     for k in single:
         begin, size, number = all_arcs(pieces, words[k])
         out[k] = sweep(len(words[k]) + 1, begin + size, size, number, scores)[-1]
@@ -234,43 +296,11 @@ def expected_counts(pieces: Pieces, scores: np.ndarray, words: list[bytes], weig
     """How often each piece is expected in these words, over all segmentations by their likelihood; weights say how often a group (column) has a word."""
     groups = scores.shape[1]
     out = np.zeros((len(pieces.pieces), groups))
-    parts, single = by_length(pieces, words)
-    numbers: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-
-    def add() -> None:
-        if numbers:
-            all_numbers, all_counts = np.concatenate(numbers), np.concatenate(counts)
-            for g in range(groups):
-                out[:, g] += np.bincount(all_numbers, all_counts[:, g], len(out))
-            numbers.clear()
-            counts.clear()
-
-    held = 0
-    for part in parts:
-        group = [words[k] for k in part]
-        lattice, forward = [], [np.zeros((len(group), groups))]
-        for found in arcs(pieces, group):
-            forward.append(log_sum([forward[b] + scores[number] for b, number in found]))
-            lattice.append(found)
-        backward: list = [[] for _ in forward]
-        backward[-1] = np.zeros((len(group), groups))
-        for end in range(len(forward) - 1, 0, -1):
-            if isinstance(backward[end], list):
-                backward[end] = log_sum(backward[end]) if backward[end] else np.full((len(group), groups), -np.inf)
-            for b, number in lattice[end - 1]:
-                if isinstance(backward[b], list):
-                    backward[b].append(backward[end] + scores[number])
-        for end, found in enumerate(lattice, 1):
-            for b, number in found:
-                some = np.flatnonzero(number >= 0)
-                numbers.append(number[some])
-                counts.append(np.exp(forward[b][some] + scores[number[some]] + backward[end][some] - forward[-1][some]) * weights[part[some]])
-                held += len(some)
-        if held > 500_000:
-            add()
-            held = 0
-    add()
+    order, single = in_order(words)
+    for g in range(groups):
+        # a group's words alone: most words are of one language
+        for part, trie in tries(pieces, words, order[weights[order, g] != 0]):
+            out[:, g] += trie.expected(np.ascontiguousarray(scores[:, g]), weights[part, g])
     for k in single:
         n = len(words[k]) + 1
         begin, size, number = all_arcs(pieces, words[k])
@@ -397,7 +427,8 @@ def learn(docs: DataFrame, train: Column, vocabulary: str, text_column: str = "t
     group = F.lit(groups - 1)
     for k, name in enumerate(names):
         group = F.when(F.col(language_column).cast("string") == name, F.lit(k)).otherwise(group)
-    counts = table(count_words(docs.select(F.col(text_column).alias("text"), train.alias("train"), group.alias("group")), groups), "counts")
+    # sorted, so that the words of a batch begin alike
+    counts = table(count_words(docs.select(F.col(text_column).alias("text"), train.alias("train"), group.alias("group")), groups).sortWithinPartitions("word"), "counts")
     word = F.expr("word != X''")
     own = [f"c{k}" for k in range(groups)]
     t = counts.agg(
